@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,9 +29,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """Two columns that tell rows apart where ids repeat: rows with the same id and text get equal results."""
-    return [F.col(id_col), F.xxhash64(F.col(text_col)).alias("_text_hash")]
+def packed(docs: DataFrame) -> DataFrame:
+    """_row (all columns of docs, so that no name of theirs can clash), _id, _h (hash of the text): rows equal in id and text get equal results."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of _row, but for those changed."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def text_slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -55,3 +63,23 @@ def text_slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[i
         hi = min(hi, n)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a compressed table in the shared checkpoint folder and read from there.
+
+    Smaller than a checkpoint where there are many rows. What df was computed
+    from can go then: release() lets Spark delete its shuffle files.
+    """
+    spark = df.sparkSession
+    checkpointed(spark.range(0))  # sets a folder where the session has none
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nothing refers to any more deleted now, not at some later collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import checkpointed, text_slices
+from .common import checkpointed, packed, text_slices, unpacked
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -118,12 +118,13 @@ def keep_documents(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Dat
     """The rows of docs whose documents are kept, in their own columns.
 
     Verdicts come back by id and text hash, so that rows with equal ids and
-    different texts are told apart. A null id never equals another, hence <=>.
+    different texts are told apart.
     """
-    marked = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
-    stats = checkpointed(measured(marked.select(F.col("_key").alias("doc_id"), "text", "source")))
+    rows = packed(docs).withColumn("_key", F.struct("_id", "_h", F.col("_row").getField("source").alias("_s")))
+    marked = rows.select(F.col("_key").alias("key"), F.col("_row").getField("text").alias("text"), F.col("_row").getField("source").alias("source"))
+    stats = checkpointed(measured(marked, "key"))
     rejected = judged(stats, max_host_rate).filter(~F.col("kept")).select(F.col("_id").alias("_bad")).distinct()
-    return marked.join(rejected, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").drop("_key")
+    return unpacked(rows.join(rejected, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti"), docs.columns)
 
 
 SQL = r"""
