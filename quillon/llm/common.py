@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,21 +64,24 @@ def text_slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[i
         lo = hi
 
 
+#: Has Spark delete a plan's shuffle files as soon as it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a compressed table in the shared checkpoint folder and read from there.
 
-    Smaller than a checkpoint where there are many rows. What df was computed
-    from can go then: release() lets Spark delete its shuffle files.
+    Smaller than a checkpoint where there are many rows, and the shuffle files
+    that it took are deleted at once.
     """
     spark = df.sparkSession
     checkpointed(spark.range(0))  # sets a folder where the session has none
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of plans that nothing refers to any more deleted now, not at some later collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import release, stored, text_slices
+from .common import stored, text_slices
 
 LENGTH, GRAM, SHALLOW = 50, 16, 16
 LAST = (1 << 63) - 1
@@ -105,15 +105,16 @@ def thinned(key: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 #: What is known of a row: its fragment waits to be compared; it goes whole; it must be compared as text.
 WAITS, GOES, OPEN = 0, 1, 2
-ROWS = "part long, key long, digest long, doc long, th long, start int, length int, shared boolean, state byte"
+ROWS = "key long, digest long, doc long, th long, packed long"
 
 
-def _rows(key, digest, doc, th, start, length, shared, state, part=None) -> pa.RecordBatch:
-    key = key.view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key if part is None else part), pa.array(key), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(shared), pa.array(np.broadcast_to(np.int8(state), len(key)) if np.isscalar(state) else state)],
-        names=["part", "key", "digest", "doc", "th", "start", "length", "shared", "state"],
-    )
+def _packed(start: np.ndarray, length: np.ndarray, shared: np.ndarray | bool, state: np.ndarray | int) -> np.ndarray:
+    """Start, length, whether other documents have the key, and state in one integer, as rows are many."""
+    return (start.astype(np.int64) << 32) | (length.astype(np.int64) << 3) | (np.asarray(shared).astype(np.int64) << 2) | np.asarray(state).astype(np.int64)
+
+
+def _rows(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, th: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, digest, doc, th, packed)], names=["key", "digest", "doc", "th", "packed"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +127,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, digest, doc, th, start, length = map(np.concatenate, zip(*held))
         held.clear()
         order, covered, number, several = thinned(key, digest, doc)
-        shared = several[0][number]
-        # settled rows are dealt by place, not by key
-        part = np.where(covered, K.mix(doc[order].astype(np.uint64) * U(31) + start[order].astype(np.uint64)), key[order]).view(np.int64)
-        yield _rows(key[order], digest[order], doc[order], th[order], start[order], length[order], shared, np.where(covered, GOES, WAITS).astype(np.int8), part)
+        doc, th, start, length = doc[order], th[order], start[order], length[order]
+        # settled rows need no key and are dealt by place
+        key = np.where(covered, K.mix(doc.astype(np.uint64) * U(31) + start.astype(np.uint64)), key[order])
+        yield _rows(key, np.where(covered, U(0), digest[order]), doc, th, _packed(start, length, several[0][number], np.where(covered, GOES, WAITS)))
 
     for batch in batches:
         doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -142,37 +143,35 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part: settled ones pass; of the others come those that go whole or are open."""
-    names = ("part", "key", "digest", "doc", "th", "start", "length", "shared", "state")
+    """Rows sorted by key: settled ones pass; of the others come those that go whole or are open."""
     held: list[list[np.ndarray]] = []
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, key, digest, doc, th, start, length, shared, state = cols
-        passed = state == GOES
+        passed = (cols[4] & 3) == GOES
         if passed.any():
-            yield _rows(key[passed], digest[passed], doc[passed], th[passed], start[passed], length[passed], shared[passed], GOES)
-        waits = ~passed
-        key, digest, doc, th, start, length, shared = (x[waits] for x in (key, digest, doc, th, start, length, shared))
+            yield _rows(*(x[passed] for x in cols))
+        key, digest, doc, th, packed = (x[~passed] for x in cols)
         if len(key):
             order, covered, number, several = thinned(key, digest, doc)
             known = np.zeros(several.shape[1], bool)
-            np.logical_or.at(known, number, shared[order])
+            np.logical_or.at(known, number, (packed[order] & 4) != 0)
             open_ = ~covered & ((several[0] | known) & several[1])[number]
             some = covered | open_
             pick = order[some]
-            yield _rows(key[pick], digest[pick], doc[pick], th[pick], start[pick], length[pick], shared[pick], np.where(covered[some], GOES, OPEN).astype(np.int8))
+            yield _rows(key[pick], digest[pick], doc[pick], th[pick], (packed[pick] & ~np.int64(3)) | np.where(covered[some], GOES, OPEN))
 
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-        cols[1], cols[2] = cols[1].view(np.uint64), cols[2].view(np.uint64)
+        cols = [c.to_numpy() for c in batch.columns]
+        cols[0], cols[1] = cols[0].view(np.uint64), cols[1].view(np.uint64)
         held.append(cols)
         if sum(len(x[0]) for x in held) > HELD:
             cols = [np.concatenate(x) for x in zip(*held)]
-            # rows that wait stand together, as their part is their key; the last part may go on
+            # the last key may go on
             other = np.flatnonzero(cols[0] != cols[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             held = [[x[cut:] for x in cols]]
-            yield from done([x[:cut] for x in cols])
+            if cut:
+                yield from done([x[:cut] for x in cols])
     if held:
         yield from done([np.concatenate(x) for x in zip(*held)])
 
@@ -387,21 +386,19 @@ def _cut(keep_text: bool):
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes)."""
-    spark = docs.sparkSession
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     counted = docs.groupBy(doc.alias("d")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     # the text's hash tells rows with equal ids apart; where there are none it need not be sent about
     th = F.lit(0).cast("long") if (counted or 0) <= 1 else F.coalesce(F.xxhash64(text_col), F.lit(0))
     texts = docs.select(doc.alias("doc"), th.alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gathered = texts.mapInArrow(_gather, ROWS)
-    settled = stored(gathered.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, ROWS).select("key", "doc", "th", "start", "length", "state"))
-    del gathered
-    release(spark)
+    start, length, state = F.shiftright("packed", 32).cast("int"), F.shiftright("packed", 3).bitwiseAND(F.lit((1 << 29) - 1)).cast("int"), F.col("packed").bitwiseAND(F.lit(3))
+    known = gathered.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, ROWS)
+    settled = stored(known.select(F.when(state == OPEN, F.col("key")).alias("key"), "doc", "th", start.alias("start"), length.alias("length"), state.alias("state")))
     places = settled.filter(F.col("state") == OPEN).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "length", "key")).alias("_f")).withColumnsRenamed({"doc": "_d", "th": "_t"})
     open_texts = texts.join(places, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc", "th", "text", "_f.start", "_f.length", "_f.key")
     parts = open_texts.mapInArrow(_parts, "k2 long, doc long, th long, start int, bytes binary")
     found = stored(parts.repartition("k2").sortWithinPartitions("k2").mapInArrow(_sorted_spans, "doc long, th long, start int, length int"))
-    release(spark)
     spans = settled.filter(F.col("state") == GOES).select("doc", "th", "start", "length").unionByName(found)
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
     of_doc = spans.groupBy("doc", "th").agg(F.collect_list(packed).alias("_s")).withColumnsRenamed({"doc": "_d", "th": "_t"})
