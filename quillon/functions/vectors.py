@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+WORDS = re.compile(r"\w+").findall
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -51,8 +58,6 @@ class InvertedLists:
     """IVF index: centroids of a bounded sample, every row in its nearest centroid's list; a search probes the nearest lists."""
 
     def __init__(self, vectors: DataFrame, lists: int = 16, sample: int = 2000, rounds: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"):
-        import numpy as np
-
         self.id_col, self.vector_col = id_col, vector_col
         rows = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()
         x = np.array([r["_v"] for r in rows])
@@ -67,8 +72,6 @@ class InvertedLists:
         self.table = vectors.withColumn("_list", F.array_min(c).getField("k"))
 
     def search(self, query: list[float], k: int, probes: int = 4, metric: str = "euclidean") -> DataFrame:
-        import numpy as np
-
         near = ((self.centres - np.array(query)) ** 2).sum(-1).argsort()[:probes].tolist()
         return nearest(self.table.filter(F.col("_list").isin(near)), query, k, metric, self.id_col, self.vector_col)
 
@@ -94,10 +97,8 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     parts = F.filter(F.split(text_col, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
 
     def pack(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
         fits = (F.size(done) > 0) & (F.length(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))) + 1 + F.length(s) <= size)
         joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.try_element_at(done, F.lit(-1)), s)))
-        del last
         return F.when(fits, joined).otherwise(F.concat(done, F.array(s)))
 
     packed = F.aggregate(parts, F.array().cast("array<string>"), pack)
@@ -105,11 +106,17 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """Bag of words hashed into so many places, at unit length; zeros without words."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: F.length(w) > 0)
-    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
-    return F.transform(counts, lambda c: F.coalesce(F.try_divide(c, norm(counts)), F.lit(0.0)))
+    """Bag of words hashed into so many places, at unit length; zeros without words. Runs in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), dims))
+        for row, t in zip(out, texts):
+            at = [zlib.crc32(w.encode()) % dims for w in WORDS(t.lower())] if t else []
+            row[:] = np.bincount(at, minlength=dims) if at else 0
+        return pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)))
+
+    return embed(text)
 
 
 def without_tags(markup: Column) -> Column:

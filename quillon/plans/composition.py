@@ -33,3 +33,13 @@ def derived(df: DataFrame, program: str) -> DataFrame:
         else:
             raise ValueError(f"cannot read {line!r}")
     return composed(df, nodes, needs)
+
+
+def assigned(df: DataFrame, program: str) -> DataFrame:
+    """df with the columns of lines ``name = expression``, each of which may use those above it."""
+    for line in filter(None, map(str.strip, program.splitlines())):
+        name, eq, text = line.partition("=")
+        if not eq or not name.strip().isidentifier():
+            raise ValueError(f"cannot read {line!r}")
+        df = df.withColumn(name.strip(), compiled(text, "template"))
+    return df
