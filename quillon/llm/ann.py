@@ -7,8 +7,9 @@ LINES random directions; each direction keeps the values in a sorted array. A
 query's window on each array starts around its own value and is widened by
 virtual rehashing: each round multiplies the width and finds the window's ends by
 bisection; a vector collides where its place in the array is between them. Vectors that collide with the query on at least COLLISIONS
-directions are candidates; widening stops when NEAREST plus SHARE of the block
-are candidates, and these are verified by exact inner products. Queries come in
+directions are candidates; widening stops when EXTRA times the neighbours asked
+for plus SHARE of the block are candidates, and these are verified by exact
+inner products. Queries come in
 blocks as well, and each pair of blocks is one task; its best are merged.
 
 Index and projections cover every row: nothing is sampled.
@@ -33,7 +34,8 @@ QUERIES = 4096
 LINES = 64
 COLLISIONS = 0.70
 FIRST_WIDTH, GROWTH = 1.2, 1.1
-SHARE = 0.1
+#: Candidates wanted: EXTRA times the neighbours asked for, and a share of the block.
+EXTRA, SHARE = 10, 0.1
 SEED = 11
 
 
@@ -96,7 +98,7 @@ class Index:
 
     def search(self, query_id: int, query: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k best candidates, nearest first, ties to the smaller id."""
-        found = self.candidates(query, k + 1 + int(np.ceil(share * len(self.ids))), int(np.ceil(COLLISIONS * len(self.places))))
+        found = self.candidates(query, EXTRA * k + 1 + int(np.ceil(share * len(self.ids))), int(np.ceil(COLLISIONS * len(self.places))))
         found = found[self.ids[found] != query_id]
         scores = self.vectors[found] @ query
         if len(found) > k:

@@ -28,6 +28,21 @@ def test_recall_and_scores(spark):
     assert hits / (20 * 150) >= 0.9
 
 
+def test_recall_of_even_directions():
+    """Random directions, where nearest vectors are hardly nearer than others, at several sizes."""
+    rng = np.random.default_rng(8)
+    for n in (300, 2000, 9000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = ann.Index(np.arange(n), x)
+        hits = 0
+        for q in range(0, n, n // 30):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & set(index.search(q, x[q], 20, ann.SHARE)[0].tolist()))
+        assert hits / (20 * len(range(0, n, n // 30))) >= 0.9, n
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (10, [0.5, 0.5])]
