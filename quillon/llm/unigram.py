@@ -20,6 +20,7 @@ empty result. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -58,29 +59,26 @@ class UnigramCounter:
     def count_run(self, run: str) -> int:
         """Pieces on the best path of one run."""
         n = len(run)
-        score: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
-        unknown = [False] * (n + 1)
-        score[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        single = [False] * n
-        for end, match in self.matches.iter(run):
-            ends[end + 1].append(match)
-            if match[0] == 1:
-                single[end] = True
+        score, count, unknown = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1))), bytearray(n + 1)
+        matches = self.matches.iter(run)
+        at_end, match = next(matches, (n, None))
         for end in range(1, n + 1):
+            here = []
+            while match is not None and at_end == end - 1:
+                here.append(match)
+                at_end, match = next(matches, (n, None))
+            here.sort(reverse=True)  # by ascending start
             best = None
-            for length, s in sorted(ends[end], reverse=True):  # by ascending start
-                at = end - length
-                total = score[at] + s
+            for length, s in here:
+                total = score[end - length] + s
                 if best is None or total > best:
-                    best, count[end], unknown[end] = total, count[at] + 1, False
-            if not single[end - 1]:
+                    best, count[end] = total, count[end - length] + 1
+            if not here or here[-1][0] != 1:
                 total = score[end - 1] + self.unknown
                 if best is None or total > best:
                     best = total
                     more = len(run[end - 1].encode("utf-8")) if self.byte_fallback else int(not unknown[end - 1])
-                    count[end], unknown[end] = count[end - 1] + more, True
+                    count[end], unknown[end] = count[end - 1] + more, 1
             score[end] = best
         return count[n]
 
