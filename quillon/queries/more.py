@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.expressions import compiled, register
 from ..functions.registry import Registry
-from ..plans import catalog, questions
+from ..operators import lookups
+from ..plans import catalog, composition, questions
 from ..registry import query
+from ..sources import files
 from ..streaming import pipelines as streams
 from ..tables import features, load, micros
+from .storage import scratch, through
 
 R = F.round
 
@@ -94,3 +98,95 @@ def node_levels(spark, sf):
 
     out = levels({"a": [], "b": ["a"], "c": ["a", "b"], "d": ["a"]})
     return spark.createDataFrame([(n, k) for k, names in enumerate(out) for n in names], "node string, level int")
+
+
+@query("op_S13_offline_sync", "SELECT user_id AS entity, event_type AS feature, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def offline_sync(spark, sf):
+    """Current values after a sync from JSON lines and Parquet."""
+    h = features(spark, sf).select("entity", "feature", "value", "ts", "version")
+    parts = [through(h.filter(F.col("version") % 2 == k), fmt, "entity long, feature string, value double, ts timestamp, version long") for k, fmt in ((0, "jsonl"), (1, "parquet"))]
+    return lookups.latest(parts[0].unionByName(parts[1])).select("entity", "feature", "value")
+
+
+@query("op_S15_query_passthrough", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def query_passthrough(spark, sf):
+    load(spark, sf, "customer").createOrReplaceTempView("quillon_customer")
+    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM quillon_customer GROUP BY 1")
+
+
+@query("op_K02_history_append", "SELECT user_id AS entity, event_type AS feature, event_id AS version FROM events")
+def history_append(spark, sf):
+    path, h = scratch(spark), features(spark, sf)
+    for k in (0, 1):
+        files.write(h.filter(F.col("version") % 2 == k), path, "parquet", "append")
+    return files.read(spark, path, "parquet").select("entity", "feature", "version")
+
+
+@query("op_K10_connector_export", "SELECT s_suppkey, s_name FROM supplier")
+def connector_export(spark, sf):
+    return through(load(spark, sf, "supplier").select("s_suppkey", "s_name"), "csv", "s_suppkey long, s_name string")
+
+
+@query("op_K13_batch_sink", "SELECT user_id AS entity, event_id AS version FROM events WHERE event_type = 'click'")
+def batch_sink(spark, sf):
+    """Micro-batches written to a folder named by their number: a repeated batch replaces itself."""
+    path = scratch(spark)
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    streams.routed(streams.events(spark, sf), {"out": "feature = 'click'"}, {"out": sink}, spark).awaitTermination()
+    return spark.read.parquet(path).select("entity", "version")
+
+
+@query("op_K14_exchange_count", "SELECT count(*) AS n FROM events WHERE user_id < 50")
+def exchange_count(spark, sf):
+    return load(spark, sf, "events").filter("user_id < 50").agg(F.count("*").alias("n"))
+
+
+@query("op_T16_checkpoint_restore", "SELECT DISTINCT user_id AS entity, event_type AS feature FROM events")
+def checkpoint_restore(spark, sf):
+    """A stream stopped after half its input and started again from its state yields nothing twice."""
+    source, sink, state = scratch(spark), scratch(spark), streams.checkpoint_path(spark)
+    h = features(spark, sf).select("entity", "feature", "version")
+    for k in (0, 1):
+        h.filter(F.col("version") % 2 == k).write.mode("append").parquet(source)
+        s = spark.readStream.schema(h.schema).parquet(source).dropDuplicates(["entity", "feature"]).select("entity", "feature")
+        s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query("op_T21_lifecycle", "SELECT 'stopped' AS after, 'pending' AS unknown")
+def lifecycle(spark, sf):
+    q = streams.Queries()
+    q.start("a", lambda: streams.routed(streams.events(spark, sf), {}, {}, spark)).awaitTermination()
+    return spark.createDataFrame([(q.status("a"), q.status("b"))], "after string, unknown string")
+
+
+@query("op_T23_change_pipeline", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+def change_pipeline(spark, sf):
+    """Change messages as a stream, applied after its end by their log positions."""
+    msg = F.to_json(F.struct(F.when(F.col("feature") == "error", "d").otherwise("u").alias("op"), F.struct(F.col("entity").alias("user_id"), "value").alias("after"), F.col("version").alias("lsn")))
+    rows = streams.envelope(streams.events(spark, sf).select(msg.alias("json")), "user_id long, value double").select("op", "lsn", "row.user_id", "row.value")
+    return streams.applied(streams.run_to_end(spark, rows), ["user_id"]).select("user_id", "value")
+
+
+@query("op_X03_script_registry", "SELECT event_id, round(sqrt(abs(value)) + 1, 6) AS v FROM events")
+def script_registry(spark, sf):
+    return load(spark, sf, "events").select("event_id", R(compiled("sqrt(abs(value)) + 1", "script"), 6).alias("v"))
+
+
+@query("op_X06_custom_function", "SELECT event_id, round(value * value + 1, 6) AS v FROM events")
+def custom_function(spark, sf):
+    register("square", lambda x: x * x)
+    return load(spark, sf, "events").select("event_id", R(compiled("square(value) + 1"), 6).alias("v"))
+
+
+@query("op_V06_collection_search", "SELECT vec_id, distance FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE label = 3) ORDER BY distance, vec_id LIMIT 5")
+def collection_search(spark, sf):
+    e = load(spark, sf, "embeddings")
+    q = e.filter("vec_id = 0").first()["embedding"]
+    return V.nearest(e.filter("label = 3"), q, 5)
+
+
+@query("op_L05_derive_language", "SELECT event_id, round((value + 1) / 2, 6) AS half FROM events")
+def derive_language(spark, sf):
+    out = composition.derived(load(spark, sf, "events"), "SOURCE value\nDERIVE more AS value + 1 FROM value\nDERIVE half AS more / 2 FROM more")
+    return out.select("event_id", R("half", 6).alias("half"))
