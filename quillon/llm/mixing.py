@@ -94,17 +94,19 @@ def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS)
     g = g.withColumn("_n", (F.col("_full") * n + F.col("_last")).cast("long"))
     shards = F.greatest(F.ceil(F.sum("_n").over(Window.partitionBy(F.lit(0))) / shard_slots), F.lit(1))
     g = g.withColumn("_shards", shards).filter(F.col("_n") > 0)
+    # a few small rows become many: their number is spread over a set number of tasks, as their size tells Spark nothing
+    spread = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # multinomial counts: every slot of a source draws its shard
     drawn = (
         g.select("_src", "_shards", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {CHUNK}"))).alias("_chunk"))
-        .repartition("_src", "_chunk")
+        .repartition(spread, "_src", "_chunk")
         .select("_src", "_shards", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("_n")) - 1)).alias("_k"))
         .select("_src", F.pmod(F.xxhash64(F.lit(SEED), F.lit("shard"), "_src", "_k"), F.col("_shards")).alias("shard"))
         .groupBy("_src", "shard")
         .agg(F.count("*").alias("_m"))
     )
     first = F.sum("_m").over(Window.partitionBy("_src").orderBy("shard")) - F.col("_m")
-    out = drawn.withColumn("_first", first).select("_src", "shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_m") - 1)).alias("_slot"))
+    out = drawn.withColumn("_first", first).repartition(spread, "_src", "shard").select("_src", "shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_m") - 1)).alias("_slot"))
     out = out.join(g.drop("_source"), "_src").withColumn("_pass", F.expr("_slot div _blocks")).withColumn("_at", F.expr("_slot % _blocks"))
     before = F.when(F.col("_at") <= F.col("_tail_at"), F.col("_at") * block).otherwise((F.col("_at") - 1) * block + F.col("_tail"))
     take = F.when(run < F.col("_full"), F.lit(block)).otherwise(F.least(F.lit(block), F.greatest(F.col("_rest") - before, F.lit(0))))
@@ -135,7 +137,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sized = checkpointed(sizes(docs, id_col, text_col, source_col))
     goals = checkpointed(targets(sized))
     parts = pieces(sized, goals, sized.count(), block)
-    out = parts.join(slots(goals, block), ["_src", "_block"], "left")
+    # slots have no size bound, and Spark would take them to be as small as what they are made from
+    out = parts.join(slots(goals, block).hint("merge"), ["_src", "_block"], "left")
     return out.withColumn("_words", F.greatest(F.least(F.col("_hi"), F.coalesce("_take", F.lit(0))) - F.col("_lo"), F.lit(0)))
 
 
