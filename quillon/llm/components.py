@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 MOST_ROUNDS = 60
+#: A node's edges are joined with its least neighbour in so many shares, as a star's centre may have most of all edges.
+SALTS = 8
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour that is greater than a node is tied to the least one of node and neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    salted = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = both.filter("b > a").withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, ["a", "_s"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     Edges to itself are dropped. Each round is written to the checkpoint
     folder; rounds go on until no edge changes.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
     for _ in range(MOST_ROUNDS):
         now = checkpointed(_small(_large(now)).distinct())
