@@ -314,3 +314,20 @@ def deduplicated(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT)
     """The rows of docs that are kept, one of each component, in their own columns; texts without words stay."""
     gone = clustered(docs, n_words=n_words, percent=percent).filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_gid"), F.col("_h").alias("_gh")).distinct()
     return unpacked(packed(docs).join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left_anti"), docs.columns)
+
+
+#: The contract of op9 by exact comparison of all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+t(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, t.r FROM t JOIN e ON e.x = t.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(t.r) AS component_id, d.doc_id = min(t.r) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
