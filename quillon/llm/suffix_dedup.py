@@ -14,7 +14,8 @@ sorted as they are, so they are narrowed first, without losing one:
    ones, is fetched as text, divided by 33 bytes around the key's place, and
    its windows are suffix-sorted to LENGTH bytes: by multikey quicksort on
    words of 8 bytes to SHALLOW bytes, and the groups that still agree by blind
-   tries. In each group of equal windows those above the smallest id go.
+   tries. In each group of equal windows those above the smallest id go. Keys
+   with more than HOT such fragments are divided into single windows instead.
 
 Defined results: a null text is empty; ids must be integers, a null id counts
 as larger than all others; rows with equal ids do not remove each other's
@@ -40,6 +41,8 @@ LENGTH, GRAM, SHALLOW = 50, 16, 16
 LAST = (1 << 63) - 1
 #: Rows of one task that are thinned out together, and bytes sorted together.
 HELD, SORTED = 1_000_000, 1 << 22
+#: Open fragments under one key above which they are dealt window by window.
+HOT = 10_000
 U = np.uint64
 
 
@@ -177,35 +180,75 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open fragments of doc, th, text, and arrays start, length, key: as text, divided by 33 bytes around the key's place."""
+    """Open fragments of doc, th, text, and arrays start, length, key, hot: as text, divided by 33 bytes around the key's place.
+
+    Fragments of hot keys are divided into their windows, dealt by their own
+    hash; equal windows of one task are thinned out here, so that a window of a
+    third of all documents sends a row for each task. A row without bytes is a
+    window that goes. Equal parts of one document are one row with all starts.
+    """
     side = LENGTH - GRAM - (LENGTH - GRAM) // 2  # bytes beside the gram that all windows of a part have on one side
+    held: list[tuple[np.ndarray, ...]] = []
+    pieces: list[bytes] = []
+
+    def rows(k2: np.ndarray, doc: np.ndarray, th: np.ndarray, starts: list[list[int]], text: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k2.view(np.int64)), pa.array(doc), pa.array(th), pa.array(starts, pa.list_(pa.int32())), pa.array(text, pa.binary())], names=["k2", "doc", "th", "starts", "bytes"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            k2, key, doc, th, start = map(np.concatenate, zip(*held))
+            order, covered, _, _ = thinned(k2, key, doc)
+            k2, doc, th, start = k2[order], doc[order], th[order], start[order]
+            k2 = np.where(covered, K.mix(doc.astype(np.uint64) * U(31) + start.astype(np.uint64)), k2)
+            # a document's equal windows are one row
+            same = np.zeros(len(k2), bool)
+            same[1:] = ~covered[1:] & ~covered[:-1] & (k2[1:] == k2[:-1]) & (key[order][1:] == key[order][:-1]) & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1])
+            first = np.flatnonzero(~same)
+            starts = [x.tolist() for x in np.split(start, first[1:])]
+            yield rows(k2[first], doc[first], th[first], starts, [None if covered[i] else pieces[order[i]] for i in first.tolist()])
+            held.clear()
+            pieces.clear()
+
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
-            buf, doc, th, start, key, pos = [], [], [], [], [], 0
+            buf, doc, th, start, key, hot, pos = [], [], [], [], [], [], 0
             offs = [0]
-            for d, h, text, ss, ns, ks in zip(*(c.to_pylist() for c in part.columns)):
+            for d, h, text, ss, ns, ks, hs in zip(*(c.to_pylist() for c in part.columns)):
                 raw = text.encode("utf-8")
-                for s, n, k in zip(ss, ns, ks):
+                for s, n, k, x in zip(ss, ns, ks, hs):
                     buf.append(raw[s : s + n])
                     doc.append(d)
                     th.append(h)
                     start.append(s)
                     key.append(k)
+                    hot.append(x)
                     pos += n
                     offs.append(pos)
             if not buf:
                 continue
+            doc, th, start, key, hot = np.array(doc, np.int64), np.array(th, np.int64), np.array(start, np.int64), np.array(key, np.int64).view(np.uint64), np.array(hot, bool)
             whole = b"".join(buf)
             data, off = np.frombuffer(whole, np.uint8), np.array(offs)
+            sums = K.prefix(data)
             of = np.repeat(np.arange(len(buf)), np.diff(off))
-            h = gram_hashes(data)
             n = len(data)
-            own = np.array(key, np.int64).view(np.uint64)[of[: len(h)]]
+            w = np.flatnonzero(of[: n - LENGTH + 1] == of[LENGTH - 1 :])
+            single = hot[of[w]]
+            if single.any():
+                one = w[single]
+                f = of[one]
+                held.append((K.span_hash(sums, one, one + LENGTH), key[f], doc[f], th[f], start[f] + one - off[f]))
+                pieces += [whole[x : x + LENGTH] for x in one.tolist()]
+                if len(pieces) > HELD // 2:
+                    yield from flush()
+                w = w[~single]
+                if not len(w):
+                    continue
+            h = gram_hashes(data)
             # the first place of the key's gram from each place on
-            at = np.where(h == own, np.arange(len(h)), n)
+            at = np.where(h == key[of[: len(h)]], np.arange(len(h)), n)
             at = np.minimum.accumulate(at[::-1])[::-1]
-            w = np.flatnonzero(of[: n - LENGTH + 1] == of[LENGTH - 1 :])
             p = at[w]
             right = p - w <= (LENGTH - GRAM) // 2
             new = np.ones(len(w), bool)
@@ -214,12 +257,19 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = w[first], w[np.append(first[1:], len(w)) - 1] + LENGTH
             r = right[first]
             lo33 = np.where(r, p[first], p[first] - side)
-            k2 = K.span_hash(K.prefix(data), lo33, lo33 + GRAM + side) + r.astype(np.uint64)
+            k2 = K.span_hash(sums, lo33, lo33 + GRAM + side) + r.astype(np.uint64)
             f = of[a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k2.view(np.int64)), pa.array(np.array(doc, np.int64)[f]), pa.array(np.array(th, np.int64)[f]), pa.array((np.array(start)[f] + a - off[f]).astype(np.int32)), pa.array([whole[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
-                names=["k2", "doc", "th", "start", "bytes"],
-            )
+            # a document's equal parts are one row: a text may repeat a phrase all along
+            at_rows: dict[tuple, list[int]] = {}
+            number = []
+            for i, (d, h, k, x, y, s) in enumerate(zip(doc[f].tolist(), th[f].tolist(), k2.tolist(), a.tolist(), b.tolist(), (start[f] + a - off[f]).tolist())):
+                known = at_rows.setdefault((d, h, k, whole[x:y]), [])
+                if not known:
+                    number.append(i)
+                known.append(s)
+            pick = np.array(number)
+            yield rows(k2[pick], doc[f][pick], th[f][pick], list(at_rows.values()), [t[3] for t in at_rows])
+    yield from flush()
 
 
 def _regrouped(group: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,12 +355,29 @@ def suffix_groups(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans that go, of parts (k2, doc, th, start, bytes) sorted by k2."""
+    """Spans that go, of parts (k2, doc, th, starts, bytes) sorted by k2."""
     held: list[pa.RecordBatch] = []
 
-    def done() -> pa.RecordBatch:
+    def spans(t: pa.Table, row: np.ndarray, inner: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        """A span for each start of the rows' parts."""
+        starts = t.column("starts").combine_chunks()
+        counts = pc.list_value_length(starts).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, first = starts.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+        n = counts[row]
+        each = np.repeat(np.arange(len(row)), n)
+        within = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        start = flat[first[row[each]] + within] + inner[each] if len(each) else np.empty(0, np.int64)
+        own = row[each]
+        return pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[own]) for c in ("doc", "th")] + [pa.array(start.astype(np.int32)), pa.array(length[each].astype(np.int32))], names=["doc", "th", "start", "length"])
+
+    def done() -> list[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        doc, th, start = (t.column(n).to_numpy() for n in ("doc", "th", "start"))
+        known = t.filter(pc.is_null(t.column("bytes")))
+        t = t.filter(pc.is_valid(t.column("bytes")))
+        goes_whole = spans(known, np.arange(len(known)), np.zeros(len(known), np.int64), np.full(len(known), LENGTH))
+        if not len(t):
+            return [goes_whole]
+        doc = t.column("doc").to_numpy()
         parts = t.column("bytes").to_pylist()
         size = np.array(list(map(len, parts)), np.int64)
         off = np.concatenate([[0], np.cumsum(size)])
@@ -327,9 +394,7 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         end = goes.copy()
         end[:-1] &= ~goes[1:] | (row[1:] != row[:-1])
         a, b = np.flatnonzero(new), np.flatnonzero(end)
-        r = row[a]
-        s = start[r] + inner[a]
-        return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array(s.astype(np.int32)), pa.array((inner[b] - inner[a] + LENGTH).astype(np.int32))], names=["doc", "th", "start", "length"])
+        return [goes_whole, spans(t, row[a], inner[a], inner[b] - inner[a] + LENGTH)]
 
     last, total = None, 0
     for batch in batches:
@@ -337,20 +402,20 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         keys = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        sizes = pc.binary_length(batch.column(4)).to_numpy()
+        sizes = pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy()
         begin = 0
         for x, y in zip(cuts[:-1], cuts[1:]):
             if total > SORTED and keys[x] != last:
                 if x > begin:
                     held.append(batch.slice(begin, x - begin))
                 begin = x
-                yield done()
+                yield from done()
                 held, total = [], 0
             total += int(sizes[x:y].sum())
             last = keys[x]
         held.append(batch.slice(begin))
     if held:
-        yield done()
+        yield from done()
 
 
 def _merged(spans: list[int], n: int) -> list[tuple[int, int]]:
@@ -384,7 +449,7 @@ def _cut(keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_fragments: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes)."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     counted = docs.groupBy(doc.alias("d")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
@@ -395,9 +460,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     start, length, state = F.shiftright("packed", 32).cast("int"), F.shiftright("packed", 3).bitwiseAND(F.lit((1 << 29) - 1)).cast("int"), F.col("packed").bitwiseAND(F.lit(3))
     known = gathered.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, ROWS)
     settled = stored(known.select(F.when(state == OPEN, F.col("key")).alias("key"), "doc", "th", start.alias("start"), length.alias("length"), state.alias("state")))
-    places = settled.filter(F.col("state") == OPEN).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "length", "key")).alias("_f")).withColumnsRenamed({"doc": "_d", "th": "_t"})
-    open_texts = texts.join(places, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc", "th", "text", "_f.start", "_f.length", "_f.key")
-    parts = open_texts.mapInArrow(_parts, "k2 long, doc long, th long, start int, bytes binary")
+    waiting = settled.filter(F.col("state") == OPEN)
+    hot = waiting.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_fragments).select(F.col("key").alias("_k"))
+    waiting = waiting.join(hot, F.col("key") == F.col("_k"), "left").withColumn("hot", F.col("_k").isNotNull())
+    places = waiting.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "length", "key", "hot")).alias("_f")).withColumnsRenamed({"doc": "_d", "th": "_t"})
+    open_texts = texts.join(places, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc", "th", "text", "_f.start", "_f.length", "_f.key", "_f.hot")
+    parts = open_texts.mapInArrow(_parts, "k2 long, doc long, th long, starts array<int>, bytes binary")
     found = stored(parts.repartition("k2").sortWithinPartitions("k2").mapInArrow(_sorted_spans, "doc long, th long, start int, length int"))
     spans = settled.filter(F.col("state") == GOES).select("doc", "th", "start", "length").unionByName(found)
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
@@ -407,3 +475,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["_id"].dataType.simpleString()
     out = joined.mapInArrow(_cut(keep_text), f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("_id", id_col)
     return out if keep_text else out.drop("kept")
+
+
+#: The contract of op2 on tables whose ids are distinct and not null, every window held against all others.
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM h WHERE length(x) >= 100)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m ON m.s = w.s WHERE w.doc_id > least),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY 1, 2),
+k AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p, a AS q, a FROM r UNION ALL SELECT doc_id, max(b), NULL, max(b) FROM r GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(CASE WHEN q IS NULL THEN substr(x, 2 * p + 1) ELSE substr(x, 2 * p + 1, 2 * (q - p)) END, '' ORDER BY a) AS kept FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY 1)
+SELECT h.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN n ON n.doc_id = h.doc_id LEFT JOIN t ON t.doc_id = h.doc_id
+"""

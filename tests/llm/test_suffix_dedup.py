@@ -58,8 +58,9 @@ def test_against_brute_force(spark):
     for seed in range(3):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "'x' as key", "1 as doc", "2 as part")
-        got = sorted(map(tuple, S.suffix_dedup(docs, keep_text=False).collect()), key=str)
-        assert got == plain(rows)
+        for hot in (S.HOT, 3, 0):
+            got = sorted(map(tuple, S.suffix_dedup(docs, keep_text=False, hot_fragments=hot).collect()), key=str)
+            assert got == plain(rows)
 
 
 def test_across_flushes(monkeypatch):
