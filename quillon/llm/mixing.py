@@ -114,7 +114,7 @@ def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS)
 
 
 def pieces(sized: DataFrame, goals: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
-    """sized with _src, _start (the document's first word in its source) and a row for each of its blocks: _block, _lo, _hi (inside the block)."""
+    """sized (of documents with words) with _src, _start (the document's first word in its source) and a row for each of its blocks: _block, _lo, _hi (inside the block)."""
     buckets = max(1, round(n_docs**0.5))
     rows = sized.withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets)))
     numbers = goals.select(F.col("_source").alias("_s"), "_src", "source_size", "target")
@@ -124,30 +124,33 @@ def pieces(sized: DataFrame, goals: DataFrame, n_docs: int, block: int = BLOCK)
     inner = Window.partitionBy("_src", "_bucket").orderBy(F.col("_id").asc_nulls_last(), "size", "_h").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_within", F.sum("size").over(inner) - F.col("size")).join(base, ["_src", "_bucket"])
     rows = rows.withColumn("_start", F.col("_base") + F.col("_within")).drop("_base", "_within", "_bucket")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}")))
-    rows = rows.withColumn("_block", F.explode_outer(blocks))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}"))))
     return rows.withColumn("_lo", F.greatest(F.col("_start") - F.col("_block") * block, F.lit(0))).withColumn("_hi", F.least(F.col("_start") + F.col("size") - F.col("_block") * block, F.lit(block)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """sizes() and targets() of docs, checkpointed: words are counted once."""
+    sized = checkpointed(sizes(docs, id_col, text_col, source_col))
+    return sized, checkpointed(targets(sized))
+
+
+def mixed(sized: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as pieces of documents: sized columns, _src, _start, source_size, target, _block, _lo, _hi, and for each slot shard, _slot, _pass, _words (taken from the piece's start).
 
-    A piece that no slot takes has one row with 0 words and nulls.
+    A piece that no slot takes has one row with 0 words and nulls; documents without words have none.
     """
-    sized = checkpointed(sizes(docs, id_col, text_col, source_col))
-    goals = checkpointed(targets(sized))
-    parts = pieces(sized, goals, sized.count(), block)
+    some = sized.filter(F.col("size") > 0)
     # slots have no size bound, and Spark would take them to be as small as what they are made from
-    out = parts.join(slots(goals, block).hint("merge"), ["_src", "_block"], "left")
+    out = pieces(some, goals, some.count(), block).join(slots(goals, block).hint("merge"), ["_src", "_block"], "left")
     return out.withColumn("_words", F.greatest(F.least(F.col("_hi"), F.coalesce("_take", F.lit(0))) - F.col("_lo"), F.lit(0)))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """One row per document: id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    rows = mixed(docs, id_col, text_col, source_col, block)
-    # documents without words share their start with the next one; counting them keeps equal rows apart
-    some = rows.filter(F.col("size") > 0).groupBy("_src", "_start", "_id", "size", "source_size", "target").agg(F.coalesce(F.sum("_words"), F.lit(0)).alias("taken"))
-    none = rows.filter(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long"))
+    sized, goals = prepared(docs, id_col, text_col, source_col)
+    some = mixed(sized, goals, block).groupBy("_src", "_start", "_id", "size", "source_size", "target").agg(F.sum("_words").alias("taken"))
+    of_source = goals.select(F.col("_source").alias("_s"), "source_size", "target")
+    none = sized.filter(F.col("size") == 0).join(of_source, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("taken", F.lit(0).cast("long"))
     cols = [F.col("_id").alias(id_col), "size", "source_size", "target", "taken"]
     return some.select(cols).unionByName(none.select(cols))
 
@@ -158,7 +161,7 @@ def remixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A pass that takes a document whole leaves its text as it is; else its
     taken runs of words are joined by spaces.
     """
-    runs = mixed(docs, block=block).filter(F.col("_words") > 0)
+    runs = mixed(*prepared(docs), block).filter(F.col("_words") > 0)
     runs = runs.withColumn("_from", F.col("_block") * block + F.col("_lo") - F.col("_start"))
     runs = runs.groupBy("_id", "_h", "_src", "_start", "size", "_pass").agg(F.array_sort(F.collect_list(F.struct("_from", "_words"))).alias("_runs"), F.sum("_words").alias("_sum"))
     # rows with equal id and text are numbered on both sides, to be joined one to one
