@@ -92,15 +92,18 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
 
 def training_rows(docs: DataFrame, may_train: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
     """Language and features of at most PER_LANGUAGE rows of each language, in order of a hash of their ids."""
-    order = [F.col("_h"), F.col("_t")]
     rows = docs.filter(may_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.xxhash64(text_col).alias("_t"))
-    spread = Window.partitionBy("_lang", F.pmod("_t", F.lit(64))).orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(spread)).filter(F.col("_n") <= PER_LANGUAGE)
-    chosen = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).filter(F.col("_n") <= PER_LANGUAGE)
-    keys = [(r["_h"], r["_t"], r["_lang"], r["_n"]) for r in chosen.collect()]  # PER_LANGUAGE for each language
-    if not keys:
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
         return []
+    # of a large language only the rows of least hash are ranked, some 8 times as many as are taken
+    place = F.pmod(F.xxhash64("_h", "_t"), F.lit(1 << 31)) / float(1 << 31)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 8.0 * PER_LANGUAGE / n)])
+    rows = rows.withColumn("_u", place).filter(F.col("_u") < F.try_element_at(share, F.col("_lang")))
+    ranked = F.row_number().over(Window.partitionBy("_lang").orderBy("_u", "_h", "_t"))
+    chosen = rows.withColumn("_n", ranked).filter(F.col("_n") <= PER_LANGUAGE)
+    keys = [(r["_h"], r["_t"], r["_lang"], r["_n"]) for r in chosen.collect()]  # PER_LANGUAGE for each language
     spark = docs.sparkSession
     keyed = F.broadcast(spark.createDataFrame(keys, "_h long, _t long, _l string, _n int").dropDuplicates(["_h", "_t", "_l"]))
     texts = docs.filter(may_train).select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.xxhash64(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).cast("string").alias("_text")).join(keyed, ["_h", "_t", "_l"])
