@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product, by collision-counting hashing.
 
-Vectors are cut into blocks of about BLOCK. In a block, every vector gets one
-more component that makes all norms equal to the block's largest, so that the
-nearest by distance are those of the largest inner product, and is projected on
-LINES random directions; each direction keeps the values in a sorted array. A
-query's window on each array starts around its own value and is widened by
-virtual rehashing: each round multiplies the width and finds the window's ends by
-bisection; a vector collides where its place in the array is between them. Vectors that collide with the query on at least COLLISIONS
+Vectors are cut into blocks of about BLOCK, and each block into parts whose
+norms differ by at most RATIO. In a part, every vector gets one more component
+that makes all norms equal to the part's largest, so that the nearest by distance
+are those of the largest inner product, and is projected on LINES random
+directions; each direction keeps the values in a sorted array. Parts are searched
+from the longest norms down, until no inner product with the next one's can reach
+the best found. A query's window on each array starts around its own value and is
+widened by virtual rehashing: each round multiplies the width and finds the
+window's ends by bisection; a vector collides where its place in the array is between them. Vectors that collide with the query on at least COLLISIONS
 directions are candidates; widening stops when EXTRA times the neighbours asked
-for plus SHARE of the block are candidates, and these are verified by exact
+for plus SHARE of the part are candidates, and these are verified by exact
 inner products. Queries come in
 blocks as well, and each pair of blocks is one task; its best are merged.
 
@@ -34,8 +36,10 @@ QUERIES = 4096
 LINES = 64
 COLLISIONS = 0.70
 FIRST_WIDTH, GROWTH = 1.2, 1.1
-#: Candidates wanted: EXTRA times the neighbours asked for, and a share of the block.
+#: Candidates wanted: EXTRA times the neighbours asked for, and a share of the part.
 EXTRA, SHARE = 10, 0.1
+#: Largest norm of a part over its smallest.
+RATIO = 1.1
 SEED = 11
 
 
@@ -45,20 +49,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
-class Index:
-    """Sorted projections of one block of vectors."""
+class Part:
+    """Sorted projections of the vectors of a block that are about equally long."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        n, dim = vectors.shape
-        squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, squares: np.ndarray, lines: np.ndarray):
+        self.ids, self.vectors, self.lines = ids, vectors, lines
+        n = len(ids)
         self.radius = float(np.sqrt(squares.max()))
         rest = np.sqrt(np.maximum(squares.max() - squares, 0))
-        rng = np.random.default_rng(SEED)
-        # random orthonormal sets of directions, as many as give the wanted number of lines
-        frames = [np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0] for _ in range(-(-lines // (dim + 1)))]
-        self.lines = np.concatenate(frames, axis=1)[:, :lines]
         values = np.concatenate([self.vectors, rest[:, None]], axis=1) @ self.lines
         order = values.argsort(axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
@@ -73,7 +71,7 @@ class Index:
         n = len(self.ids)
         if wanted >= n:
             return np.arange(n)
-        # the query at the block's radius: its direction is all that counts
+        # the query at the part's radius: its direction is all that counts
         at = (query / np.sqrt(query @ query) * self.radius) @ self.lines[:-1]
         counts, inside = np.zeros(n, np.uint16), np.empty(n, bool)
         shifted = np.empty(n, self.places.dtype)
@@ -96,17 +94,43 @@ class Index:
                     return found
             width *= GROWTH
 
+
+class Index:
+    """The parts of one block of vectors, the longest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES):
+        dim = vectors.shape[1]
+        rng = np.random.default_rng(SEED)
+        # random orthonormal sets of directions, as many as give the wanted number of lines
+        frames = [np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0] for _ in range(-(-lines // (dim + 1)))]
+        directions = np.concatenate(frames, axis=1)[:, :lines]
+        squares = np.einsum("ij,ij->i", vectors, vectors)
+        order = np.lexsort((ids, -squares))
+        falling, self.parts, lo = -squares[order], [], 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(falling, falling[lo] / RATIO**2, "right")))
+            some = order[lo:hi][np.argsort(ids[order[lo:hi]], kind="stable")]
+            self.parts.append(Part(ids[some], np.ascontiguousarray(vectors[some]), squares[some], directions))
+            lo = hi
+
     def search(self, query_id: int, query: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k best candidates, nearest first, ties to the smaller id."""
-        found = self.candidates(query, EXTRA * k + 1 + int(np.ceil(share * len(self.ids))), int(np.ceil(COLLISIONS * len(self.places))))
-        found = found[self.ids[found] != query_id]
-        scores = self.vectors[found] @ query
-        if len(found) > k:
-            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-            some = scores >= cut
-            found, scores = found[some], scores[some]
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found[best]], scores[best]
+        length = float(np.sqrt(query @ query))
+        ids, scores = np.empty(0, self.parts[0].ids.dtype), np.empty(0)
+        for part in self.parts:
+            # Cauchy-Schwarz, with room for rounding: neither this part nor a later one holds a better one
+            if len(ids) == k and length * part.radius * (1 + 1e-9) < scores[-1]:
+                break
+            found = part.candidates(query, EXTRA * k + 1 + int(np.ceil(share * len(part.ids))), int(np.ceil(COLLISIONS * len(part.places))))
+            found = found[part.ids[found] != query_id]
+            ids, scores = np.concatenate([ids, part.ids[found]]), np.concatenate([scores, part.vectors[found] @ query])
+            if len(ids) > k:
+                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+                some = scores >= cut
+                ids, scores = ids[some], scores[some]
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+        return ids, scores
 
 
 def usable(vector: Column) -> Column:

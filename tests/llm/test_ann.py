@@ -43,6 +43,23 @@ def test_recall_of_even_directions():
         assert hits / (20 * len(range(0, n, n // 30))) >= 0.9, n
 
 
+def test_recall_of_uneven_norms():
+    """One very long vector, log-normal and Gaussian norms."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    long = unit.copy()
+    long[7] *= 10
+    for name, v in (("one long", long), ("log-normal", unit * rng.lognormal(0, 1, (4000, 1))), ("Gaussian", x), ("Gaussian, one long", x * np.where(np.arange(4000) == 7, 20, 1)[:, None])):
+        index = ann.Index(np.arange(4000), v)
+        hits = 0
+        for q in range(0, 4000, 100):
+            s = v @ v[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & set(index.search(q, v[q], 20, ann.SHARE)[0].tolist()))
+        assert hits / (20 * 40) >= 0.9, name
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (10, [0.5, 0.5])]
