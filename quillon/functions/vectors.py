@@ -134,6 +134,22 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
+def similar_users(items: DataFrame, user: str, item: str) -> DataFrame:
+    """u, v, sim: Jaccard similarity of all pairs of users (u < v) that share an item.
+
+    Equality joins alone: users of the same set of items are one class, classes
+    meet on an item, and users meet by their classes. The result has a row for
+    each pair, which is quadratic in users.
+    """
+    sets = items.groupBy(F.col(user).alias("u")).agg(F.array_sort(F.collect_set(item)).alias("kinds")).filter(F.size("kinds") > 0)
+    classes = sets.select("kinds").distinct()
+    side = lambda n: classes.select(F.col("kinds").alias(n), F.explode("kinds").alias("_item"))
+    met = side("ka").join(side("kb"), "_item").groupBy("ka", "kb").agg(F.count("*").alias("common"))
+    sims = met.select("ka", "kb", F.round(F.col("common") / (F.size("ka") + F.size("kb") - F.col("common")), 6).alias("sim"))
+    a, b = sets.select("u", F.col("kinds").alias("ka")), sets.select(F.col("u").alias("v"), F.col("kinds").alias("kb"))
+    return a.join(sims, "ka").join(b, "kb").filter("u < v").select("u", "v", "sim")
+
+
 def top_of_each(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -87,10 +87,14 @@ def hybrid_ranking(spark, sf):
 @query("op_X14_recommendation", """WITH s AS (SELECT user_id, event_type FROM events WHERE value > 60 GROUP BY 1, 2), n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1)
 SELECT a.user_id AS u, b.user_id AS v, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS sim FROM s a JOIN s b ON a.event_type = b.event_type AND a.user_id < b.user_id JOIN n x ON x.user_id = a.user_id JOIN n y ON y.user_id = b.user_id WHERE a.user_id < 30 AND b.user_id < 30 GROUP BY 1, 2""")
 def recommendation(spark, sf):
-    s = load(spark, sf, "events").filter("value > 60 and user_id < 30").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
-    a, b = s.select(F.col("user_id").alias("u"), F.col("kinds").alias("ka")), s.select(F.col("user_id").alias("v"), F.col("kinds").alias("kb"))
-    pairs = a.join(b, F.arrays_overlap("ka", "kb") & (F.col("u") < F.col("v")))
-    return pairs.select("u", "v", F.round(V.set_similarity(F.col("ka"), F.col("kb")), 6).alias("sim"))
+    return V.similar_users(load(spark, sf, "events").filter("value > 60 and user_id < 30"), "user_id", "event_type")
+
+
+@query("op_X14_recommendation_all", """WITH s AS (SELECT user_id, event_type FROM events WHERE value > 60 GROUP BY 1, 2), n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1)
+SELECT a.user_id AS u, b.user_id AS v, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS sim FROM s a JOIN s b ON a.event_type = b.event_type AND a.user_id < b.user_id JOIN n x ON x.user_id = a.user_id JOIN n y ON y.user_id = b.user_id GROUP BY 1, 2""")
+def recommendation_all(spark, sf):
+    """Pairs of all users."""
+    return V.similar_users(load(spark, sf, "events").filter("value > 60"), "user_id", "event_type")
 
 
 @query("op_X16_strip_tags", "SELECT page_id, replace(regexp_replace(html, '<[^>]*>?', '', 'g'), '>', '') AS t FROM pages")

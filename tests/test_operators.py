@@ -1,10 +1,14 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+import quillon.queries  # noqa: F401
+from quillon.functions import vectors
 from quillon.operators import filters, graphs, joins, lookups, windows
 from quillon.plans import composition, pipelines, streamsql
+from quillon.registry import QUERIES
 
 T0 = datetime(2024, 1, 1, 12)
 
@@ -112,3 +116,18 @@ def test_composition_and_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     got = {(r.start, r.node): r.depth for r in graphs.reachable(e, spark.createDataFrame([("d",)], "node string")).collect()}
     assert got == {("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
+
+
+def test_similar_users_of_all(spark):
+    """Every pair of users that share an item, those of equal sets and beyond any id too."""
+    sets = {1: "ab", 5: "ab", 40: "bc", 900: "c", 901: "x", 902: "abx"}
+    rows = spark.createDataFrame([(u, k) for u, kinds in sets.items() for k in kinds * 2], "user long, kind string")
+    got = {(r.u, r.v): r.sim for r in vectors.similar_users(rows, "user", "kind").collect()}
+    want = {(u, v): round(len(set(a) & set(b)) / len(set(a) | set(b)), 6) for u, a in sets.items() for v, b in sets.items() if u < v and set(a) & set(b)}
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_recommendation_reaches_all_users(spark):
+    df = QUERIES["op_X14_recommendation_all"](spark, "/root/testdata/sf0.01")
+    assert df.agg(F.max("v")).first()[0] >= 140
