@@ -37,6 +37,12 @@ def streaming_lookup(spark, sf):
     return lookups.latest(features(spark, sf).filter("entity < 10")).withColumn("ts", micros("ts"))
 
 
+@query("op_S04_streaming_lookup_all", LAST.format(""))
+def streaming_lookup_all(spark, sf):
+    """All entities asked for."""
+    return lookups.latest(features(spark, sf)).withColumn("ts", micros("ts"))
+
+
 @query("op_S05_dataset_scan", "SELECT event_id, user_id, value FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
 def dataset_scan(spark, sf):
     return load(spark, sf, "events").select("event_id", "user_id", "value").orderBy("event_id").offset(100).limit(50)
@@ -54,7 +60,17 @@ def ticket_scan(spark, sf):
 
 @query("op_S19_batch_serving", "SELECT e.c_custkey AS entity, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS spent FROM customer e LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 200 GROUP BY 1")
 def batch_serving(spark, sf):
-    asked = load(spark, sf, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("entity"))
+    return _served(spark, sf, load(spark, sf, "customer").filter("c_custkey < 200"))
+
+
+@query("op_S19_batch_serving_all", "SELECT e.c_custkey AS entity, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS spent FROM customer e LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def batch_serving_all(spark, sf):
+    """All customers asked for."""
+    return _served(spark, sf, load(spark, sf, "customer"))
+
+
+def _served(spark, sf, customers):
+    asked = customers.select(F.col("c_custkey").alias("entity"))
     orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", "o_totalprice")
     return asked.join(orders, "entity", "left").groupBy("entity").agg(F.count("o_orderkey").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
 
@@ -113,9 +129,20 @@ def subscription(spark, sf):
 @query("op_K07_point_in_time_export", """SELECT e.entity, d.day, (SELECT arg_max(value, (ts, event_id)) FROM events x WHERE x.user_id = e.entity AND x.event_type = 'purchase' AND x.ts <= d.at) AS purchase
 FROM (SELECT DISTINCT user_id AS entity FROM events WHERE user_id < 20) e, (SELECT x AS day, TIMESTAMP '2024-01-01' + to_days(x::INT) AS at FROM (SELECT unnest([5, 10, 20]) AS x)) d""")
 def point_in_time_export(spark, sf):
+    return _exported(features(spark, sf).filter("entity < 20"))
+
+
+@query("op_K07_point_in_time_export_all", """SELECT s.entity, s.day, p.value AS purchase
+FROM (SELECT entity, day, TIMESTAMP '2024-01-01' + to_days(day::INT) AS at FROM (SELECT DISTINCT user_id AS entity FROM events), (SELECT unnest([5, 10, 20]) AS day)) s
+ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON p.user_id = s.entity AND p.ts <= s.at""")
+def point_in_time_export_all(spark, sf):
+    """All entities asked for."""
+    return _exported(features(spark, sf))
+
+
+def _exported(history):
     from ..operators import joins
 
-    history = features(spark, sf).filter("entity < 20")
     days = F.explode(F.array(*[F.lit(d) for d in (5, 10, 20)]))
     spine = history.select("entity").distinct().select("entity", days.alias("day")).withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, day)"))
     out = joins.point_in_time(spine, history.filter("feature = 'purchase'"), ["entity"], ["value"], how="left", tie=["version"])

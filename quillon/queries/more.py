@@ -141,6 +141,11 @@ def exchange_count(spark, sf):
     return load(spark, sf, "events").filter("user_id < 50").agg(F.count("*").alias("n"))
 
 
+@query("op_K14_exchange_count_all", "SELECT count(*) AS n FROM events")
+def exchange_count_all(spark, sf):
+    return load(spark, sf, "events").agg(F.count("*").alias("n"))
+
+
 @query("op_T16_checkpoint_restore", "SELECT DISTINCT user_id AS entity, event_type AS feature FROM events")
 def checkpoint_restore(spark, sf):
     """A stream stopped after half its input and started again from its state yields nothing twice."""
