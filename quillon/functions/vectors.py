@@ -55,7 +55,13 @@ def mean_vector(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
 
 
 class InvertedLists:
-    """IVF index: centroids of a bounded sample, every row in its nearest centroid's list; a search probes the nearest lists."""
+    """IVF index: centroids of a bounded sample, every row in its nearest centroid's list.
+
+    A search probes the nearest lists, and then every other list that can hold a
+    nearer row than those found, so that its result is that of brute force. That
+    rests on the triangle inequality: with other metrics than euclidean all lists
+    are read.
+    """
 
     def __init__(self, vectors: DataFrame, lists: int = 16, sample: int = 2000, rounds: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"):
         self.id_col, self.vector_col = id_col, vector_col
@@ -69,11 +75,21 @@ class InvertedLists:
                     centres[k] = x[own == k].mean(0)
         self.centres = centres
         c = F.array(*[F.struct(euclidean(F.col(vector_col), F.array(*[F.lit(float(v)) for v in centre])).alias("d"), F.lit(k).alias("k")) for k, centre in enumerate(centres)])
-        self.table = vectors.withColumn("_list", F.array_min(c).getField("k"))
+        nearest_centre = F.array_min(c)
+        self.table = vectors.withColumn("_list", nearest_centre.getField("k"))
+        reach = vectors.select(nearest_centre.alias("c")).groupBy("c.k").agg(F.max(F.when(~F.isnan("c.d"), F.col("c.d"))).alias("r")).collect()  # a row for each list
+        self.radii = {r["k"]: r["r"] for r in reach if r["r"] is not None}
 
     def search(self, query: list[float], k: int, probes: int = 4, metric: str = "euclidean") -> DataFrame:
-        near = ((self.centres - np.array(query)) ** 2).sum(-1).argsort()[:probes].tolist()
-        return nearest(self.table.filter(F.col("_list").isin(near)), query, k, metric, self.id_col, self.vector_col)
+        if metric != "euclidean":
+            return nearest(self.table, query, k, metric, self.id_col, self.vector_col)
+        gaps = np.sqrt(((self.centres - np.array(query, float)) ** 2).sum(-1))
+        order = gaps.argsort(kind="stable").tolist()
+        of = lambda lists: nearest(self.table.filter(F.col("_list").isin(lists)), query, k, metric, self.id_col, self.vector_col)
+        found = [r["distance"] for r in of(order[:probes]).collect()]
+        # distances are rounded to 6 digits: ties count
+        limit = found[-1] + 2e-6 if len(found) == k and not np.isnan(found[-1]) else float("inf")
+        return of(order[:probes] + [i for i in order[probes:] if gaps[i] - self.radii.get(i, -np.inf) <= limit])
 
 
 def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,3 +141,22 @@ def test_whole_tables_are_served(spark):
     assert most("op_S04_streaming_lookup_all") == most("op_K07_point_in_time_export_all") == 149
     assert QUERIES["op_S19_batch_serving_all"](spark, sf).count() == 1500
     assert QUERIES["op_K14_exchange_count_all"](spark, sf).first()["n"] == 10_000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_inverted_lists_find_what_brute_force_finds(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    index = vectors.InvertedLists(table)
+    for metric in ("euclidean", "cosine", "dot"):
+        for row in table.filter("vec_id % 150 = 0").collect():
+            want = vectors.nearest(table, row.embedding, 10, metric).collect()
+            assert index.search(row.embedding, 10, metric=metric).collect() == want
+
+
+def test_inverted_lists_probe_what_they_must(spark):
+    """Far lists are left out; a list with enough rows at an end does not hide a nearer one's."""
+    rows = [(10 * k + i, [100.0 * k + i, 0.0]) for k in range(16) for i in range(10)]
+    index = vectors.InvertedLists(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=160)
+    for x in (0.0, 52.0, 155.0, 1509.0):
+        want = sorted((round(abs(v[0] - x), 6), i) for i, v in rows)[:12]
+        assert [(r.distance, r.vec_id) for r in index.search([x, 0.0], 12, probes=1).collect()] == want
