@@ -171,9 +171,9 @@ def randomized_response(truth: Column, epsilon: float, seed: int) -> Column:
     return F.when(F.rand(seed) < keep, truth).otherwise(~truth)
 
 
-def isolation_scores(df: DataFrame, field: str, trees: int = 50, sample: int = 256, seed: int = 1) -> DataFrame:
-    """df with score: 1-D isolation forest, 2 ** (-mean depth / c(sample)). The forest is a bounded sample's; scoring runs over all rows in Arrow batches."""
-    picked = df.filter(F.col(field).isNotNull()).orderBy(F.xxhash64(field, F.lit(seed)), field).limit(sample * 4).select(F.col(field).cast("double")).toPandas()[field].to_numpy()
+def isolation_scores(df: DataFrame, field: str, id_col: str, trees: int = 50, sample: int = 256, seed: int = 1) -> DataFrame:
+    """df with score: 1-D isolation forest, 2 ** (-mean depth / c(sample)). The forest is a bounded sample's, drawn by a hash of the rows' ids, so that it follows the distribution; scoring runs over all rows in Arrow batches."""
+    picked = df.filter(F.col(field).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col, field).limit(sample * 4).select(F.col(field).cast("double")).toPandas()[field].to_numpy()
     rng = np.random.default_rng(seed)
 
     def grow(values: np.ndarray, depth: int, most: int):

@@ -93,7 +93,7 @@ def rolling_anomaly(spark, sf):
 
 @query("op_M12_isolation_forest")
 def isolation_forest(spark, sf):
-    return S.isolation_scores(load(spark, sf, "events"), "value").select("event_id", F.round("score", 6).alias("score"))
+    return S.isolation_scores(load(spark, sf, "events"), "value", "event_id").select("event_id", F.round("score", 6).alias("score"))
 
 
 @query("op_M13_correlation_shift", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS whole, round(corr(l_quantity, l_extendedprice) FILTER (l_shipdate >= TIMESTAMP '1997-01-01'), 6) AS recent FROM lineitem")

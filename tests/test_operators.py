@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import quillon.queries  # noqa: F401
-from quillon.functions import vectors
+from quillon.functions import statistics, vectors
 from quillon.operators import filters, graphs, joins, lookups, windows
 from quillon.plans import composition, pipelines, streamsql
 from quillon.registry import QUERIES
@@ -160,3 +160,12 @@ def test_inverted_lists_probe_what_they_must(spark):
     for x in (0.0, 52.0, 155.0, 1509.0):
         want = sorted((round(abs(v[0] - x), 6), i) for i, v in rows)[:12]
         assert [(r.distance, r.vec_id) for r in index.search([x, 0.0], 12, probes=1).collect()] == want
+
+
+def test_isolation_forest_of_common_values(spark):
+    """Values that stand more often than the sample is large, and one outlier."""
+    rows = spark.range(24_001).select("id", F.when(F.col("id") == 7, 10_000.0).otherwise((F.col("id") % 20).cast("double")).alias("value"))
+    scores = {r.value: r.score for r in statistics.isolation_scores(rows, "value", "id").select("value", "score").distinct().collect()}
+    assert len(set(scores.values())) > 5
+    # the outlier is hardly in the sample: it scores as the end that it lies beyond
+    assert scores[10_000.0] >= scores[19.0] > scores[10.0]
