@@ -103,12 +103,24 @@ def strip_tags(spark, sf):
 
 
 EDGES = "(SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
+#: Lines of one order and number are one node.
+EDGES_ALL = EDGES[:-1] + " UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'l' || l_orderkey || '-' || l_linenumber FROM lineitem)"
+
+
+def _edges(df, a, x, b, *y):
+    name = [part for c in y for part in (F.lit("-"), F.col(c).cast("string"))][1:]
+    return df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), *name).alias("dst"))
 
 
 def edges(spark, sf):
     n, c = load(spark, sf, "nation"), load(spark, sf, "customer")
-    e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
-    return e(n, "r", "n_regionkey", "n", "n_nationkey").unionByName(e(c, "n", "c_nationkey", "c", "c_custkey"))
+    return _edges(n, "r", "n_regionkey", "n", "n_nationkey").unionByName(_edges(c, "n", "c_nationkey", "c", "c_custkey"))
+
+
+def edges_all(spark, sf):
+    o, li = load(spark, sf, "orders"), load(spark, sf, "lineitem")
+    lines = _edges(li, "o", "l_orderkey", "l", "l_orderkey", "l_linenumber").distinct()
+    return edges(spark, sf).unionByName(_edges(o, "c", "o_custkey", "o", "o_orderkey")).unionByName(lines)
 
 
 @query("op_G01_closure", f"WITH RECURSIVE t(start, node, depth) AS (SELECT DISTINCT src, dst, 1 FROM {EDGES} WHERE src LIKE 'r%' UNION SELECT t.start, e.dst, t.depth + 1 FROM t JOIN {EDGES} e ON e.src = t.node) SELECT start, node, depth FROM t")
@@ -117,15 +129,29 @@ def closure(spark, sf):
     return graphs.reachable(e, e.filter("src like 'r%'").select(F.col("src").alias("node")).distinct())
 
 
+@query("op_G01_closure_all", f"WITH RECURSIVE t(start, node, depth) AS (SELECT DISTINCT src, dst, 1 FROM {EDGES_ALL} WHERE src LIKE 'r%' UNION SELECT t.start, e.dst, t.depth + 1 FROM t JOIN {EDGES_ALL} e ON e.src = t.node) SELECT start, node, depth FROM t")
+def closure_all(spark, sf):
+    """The graph of all five tables."""
+    e = edges_all(spark, sf)
+    return graphs.reachable(e, e.filter("src like 'r%'").select(F.col("src").alias("node")).distinct())
+
+
 @query("op_G03_blast_radius", f"WITH RECURSIVE t(start, node) AS (SELECT DISTINCT src, dst FROM {EDGES} WHERE src LIKE 'r%' UNION SELECT t.start, e.dst FROM t JOIN {EDGES} e ON e.src = t.node) SELECT start, count(*) AS affected, round(least(10, 10 * count(*)::DOUBLE / (SELECT count(*) FROM (SELECT src FROM {EDGES} UNION SELECT dst FROM {EDGES}))), 6) AS risk FROM t GROUP BY 1")
 def blast_radius(spark, sf):
     e = edges(spark, sf)
     return graphs.blast_radius(e, e.filter("src like 'r%'").select(F.col("src").alias("node")).distinct())
 
 
+@query("op_G03_blast_radius_all", f"WITH RECURSIVE t(start, node) AS (SELECT DISTINCT src, dst FROM {EDGES_ALL} WHERE src LIKE 'r%' UNION SELECT t.start, e.dst FROM t JOIN {EDGES_ALL} e ON e.src = t.node) SELECT start, count(*) AS affected, round(least(10, 10 * count(*)::DOUBLE / (SELECT count(*) FROM (SELECT src FROM {EDGES_ALL} UNION SELECT dst FROM {EDGES_ALL}))), 6) AS risk FROM t GROUP BY 1")
+def blast_radius_all(spark, sf):
+    """The graph of all five tables."""
+    e = edges_all(spark, sf)
+    return graphs.blast_radius(e, e.filter("src like 'r%'").select(F.col("src").alias("node")).distinct())
+
+
 @query("op_G04_centrality")
 def centrality(spark, sf):
-    return graphs.centrality(edges(spark, sf)).select("node", F.round("score", 6).alias("score"))
+    return graphs.centrality(edges_all(spark, sf)).select("node", F.round("score", 6).alias("score"))
 
 
 @query("op_N03_compute_graph", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross FROM lineitem")

@@ -169,3 +169,16 @@ def test_isolation_forest_of_common_values(spark):
     assert len(set(scores.values())) > 5
     # the outlier is hardly in the sample: it scores as the end that it lies beyond
     assert scores[10_000.0] >= scores[19.0] > scores[10.0]
+
+
+def test_reachable_goes_to_the_end(spark):
+    """A chain of more than 50 steps."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(53)], "src string, dst string").coalesce(1)
+    got = {r.node: r.depth for r in graphs.reachable(e, spark.createDataFrame([("n0",)], "node string").coalesce(1)).collect()}
+    assert got == {f"n{i}": i for i in range(1, 54)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_centrality_ranks_all_tables(spark):
+    kinds = {r.k for r in QUERIES["op_G04_centrality"](spark, "/root/testdata/sf0.001").select(F.substring("node", 1, 1).alias("k")).distinct().collect()}
+    assert kinds == set("rncol")
