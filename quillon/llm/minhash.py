@@ -5,7 +5,7 @@
    packed into a sketch. Texts with equal sets are one class.
 2. Classes that share a band key are candidates. Their similarity is estimated
    by counting equal low bits and correcting for chance collisions; candidates
-   MARGIN (over 3.5 standard errors) below the threshold are dropped. Buckets
+   MARGIN (5 standard errors) below the threshold are dropped. Buckets
    are cut into blocks of BLOCK classes, a task compares two blocks at a time
    and returns stars, never pairs. Their components are families.
 3. In each family every two blocks of classes are compared on their full sets.
@@ -39,7 +39,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS, BITS = 25, 5, 4
-MARGIN = 0.13
+MARGIN = 0.19
 BLOCK = 512
 _rng = np.random.default_rng(977)
 MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

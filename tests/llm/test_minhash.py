@@ -108,3 +108,14 @@ def test_components(spark):
 
 def test_empty(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_estimate_drops_no_true_link():
+    """Pairs of similarity exactly 0.80 that share a band all pass the estimate."""
+    rng = np.random.default_rng(1)
+    for _ in range(8):
+        raw = [rng.integers(0, 2**64, 200, dtype=np.uint64) for _ in range(1000)]
+        a, b = M.minima([r[:180] for r in raw]), M.minima([np.concatenate([r[:160], r[180:]]) for r in raw])
+        shared = np.flatnonzero((M.band_keys(a) == M.band_keys(b)).any(axis=1))
+        x, y = M.sketches(a), M.sketches(b)
+        assert all(M.estimated(x[i : i + 1], y[i : i + 1])[0, 0] >= 0.8 - M.MARGIN for i in shared)
