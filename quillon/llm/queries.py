@@ -53,4 +53,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_suffix_dedup, op3_language_id, op4_collision_ann, op5_mixing, op6_bpe, op7_quality_hosts, op8_unigram_counts, op9_minhash, op10_line_dedup)}
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op7_quality_hosts": quality_hosts.SQL, "op9_minhash": minhash.SQL}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op7_quality_hosts": quality_hosts.SQL, "op9_minhash": minhash.SQL, "op10_line_dedup": line_dedup.SQL}

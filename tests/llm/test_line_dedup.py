@@ -4,33 +4,28 @@ from quillon.llm import line_dedup as L
 
 
 def plain(rows, least):
-    """Kept text of each row, by comparing every window with all earlier ones."""
+    """Kept text of each row, by the definition: every run of lines with words against all earlier ones."""
     docs = sorted(((d is None, d, t.split("\n")) for d, t in dict.fromkeys(rows) if t is not None), key=lambda x: (x[0], x[1] or 0))
-    seen, gone = {}, {}
     words = lambda x: len(x.split())
-    for n, (_, d, ls) in enumerate(docs):
-        gone[n] = set()
-        for a in range(len(ls)):
-            if not words(ls[a]):
-                continue
-            b, total = a, 0
-            while b < len(ls) and total < least:
-                total += words(ls[b])
-                b += 1
-            if total < least:
-                continue
-            key = tuple(ls[a:b])
-            if key not in seen:
-                seen[key] = (n, a)
-                continue
-            m, at = seen[key]
-            other, lo, hi = docs[m][2], a, b
-            while lo > 0 and lo - a + at > 0 and ls[lo - 1] == other[lo - 1 - a + at]:
-                lo -= 1
-            while hi < len(ls) and hi - a + at < len(other) and ls[hi] == other[hi - a + at]:
-                hi += 1
-            gone[n] |= set(range(lo, hi))
-    out = {(d, "\n".join(ls)): (None if not ls else "\n".join(x for i, x in enumerate(ls) if i not in gone[n]), len(ls), len(gone[n])) for n, (_, d, ls) in enumerate(docs)}
+    worded = [[i for i, x in enumerate(ls) if words(x)] for _, _, ls in docs]
+    seen, out = set(), {}
+    for (_, d, ls), at in zip(docs, worded):
+        gone = set()
+        for a in range(len(at)):
+            runs, total = [], 0
+            for b in range(a, len(at)):
+                total += words(ls[at[b]])
+                if total >= least:
+                    key = tuple(ls[i] for i in at[a : b + 1])
+                    runs.append(key)
+                    if key in seen:
+                        gone |= set(range(a, b + 1))
+            seen.update(runs)
+        own = {at[k] for k in gone}
+        for i, x in enumerate(ls):
+            if not words(x) and at:
+                own |= {i} if (max((k for k in at if k < i), default=at[0])) in own else set()
+        out[d, "\n".join(ls)] = ("\n".join(x for i, x in enumerate(ls) if i not in own), len(ls), len(own))
     return sorted(((d, *(out[(d, t)] if t is not None else (None, 0, 0))) for d, t in rows), key=str)
 
 
@@ -61,6 +56,44 @@ def test_against_brute_force(spark):
         assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in kept.collect())
 
 
+def test_every_earlier_continuation(spark):
+    """A run goes whole where it stands whole in an earlier document, though part of it stands in one before that."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two, three = line("a", 30), line("b", 30), line("c", 10)
+    rows = [(1, f"{one}\n{two}\nown 1"), (2, f"{one}\n{two}\n{three}\nown 2"), (3, f"{one}\n{two}\n{three}\nown 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in L.line_dedup(docs).collect()) == [(1, 0), (2, 2), (3, 3)]
+
+
+def test_many_corpora(spark):
+    """Hundreds of small corpora at once, each with lines of its own."""
+    rng = random.Random(9)
+    rows = []
+    for c in range(300):
+        for i in range(rng.randint(2, 6)):
+            rows.append((len(rows), "\n".join(rng.choice(["", " ", *(" ".join([f"c{c}x{k}"] * n) for k, n in enumerate((1, 2, 3, 5, 8)))]) for _ in range(rng.randint(1, 14)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, L.line_dedup(docs, min_words=8).collect()), key=str)
+    assert got == plain(rows, 8)
+    assert sum(r[3] > 0 for r in got) > 300
+
+
+def test_selection_thins_out(spark):
+    """Only selected lines are joined: fewer than lines, far fewer than windows; without the selection each window would be one row."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "\n".join(f"{rng.random()} a b c d" for _ in range(200))) for i in range(20)], "doc_id long, text string")
+    row = L.fingerprints(docs).selectExpr("count(*) n", "sum(size(_windows)) w").first()
+    assert row.w > 20 * 180 and row.n < 20 * 200 / 2 and row.n < row.w / 4
+
+
+def test_equal_lines_of_one_text(spark):
+    """All lines of a text equal: the first stays."""
+    line = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "\n".join([line] * 100_000)), (2, "\n".join([line] * 3))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in L.line_dedup(docs).collect()}
+    assert got == {1: (100_000, 99_999), 2: (3, 0)}
+
+
 def test_long_and_empty(spark):
     line = "word " * 40_000
     docs = spark.createDataFrame([(2, line + "\nx"), (1, "y\n" + line)], "doc_id long, text string")
