@@ -12,7 +12,7 @@ COLUMNS = {
     "op2_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op3_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op4_collision_ann": ["query_id", "rank", "vec_id", "score"],
-    "op5_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op5_mixing": ["doc_id", "size", "source_size", "target", "taken", "shards"],
     "op6_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op7_quality_hosts": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
@@ -25,7 +25,7 @@ def test_columns(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns == COLUMNS[name]
     kinds = dict(df.dtypes)
-    assert all(kinds[c] == ("int" if c == "rank" else "double" if c in ("score", "target") else "boolean" if c in ("held_out", "base_failed", "kept") else "string" if c.endswith("256") or c == "lang_pred" else "bigint") for c in df.columns)
+    assert all(kinds[c] == ("int" if c == "rank" else "array<bigint>" if c == "shards" else "double" if c in ("score", "target") else "boolean" if c in ("held_out", "base_failed", "kept") else "string" if c.endswith("256") or c == "lang_pred" else "bigint") for c in df.columns)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
