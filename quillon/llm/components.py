@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-
-MOST_ROUNDS = 60
-#: A node's edges are joined with its least neighbour in so many shares, as a star's centre may have most of all edges.
-SALTS = 8
-
+from .common import checkpointed, dealt
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour that is greater than a node is tied to the least one of node and neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    salted = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = both.filter("b > a").withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, ["a", "_s"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return dealt(both.filter("b > a"), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its lesser neighbours are tied to the least of them; edges run from greater to lesser."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = dealt(edges, least, ["a"], ["b"]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -32,14 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of the edges (a, b) that is not its own root.
 
     Edges to itself are dropped. Each round is written to the checkpoint
-    folder; rounds go on until no edge changes.
+    folder; rounds go on until no edge changes, which takes about the square of
+    the logarithm of the nodes' number.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         now = checkpointed(_small(_large(now)).distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         was = mark
-    raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")

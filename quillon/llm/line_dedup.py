@@ -44,11 +44,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import packed, stored, text_slices, unpacked
+from .common import dealt, packed, stored, text_slices, unpacked
 
 MIN_WORDS = 50
-#: Rows of one key are joined with the key's earliest row in so many shares.
-SALTS = 8
+PLACE = ["_id", "_h", "p"]
 
 
 def windows(n_words: np.ndarray, of: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +124,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.filter(F.col("_text").isNotNull()).mapInArrow(lambda it: _fingerprints(it, min_words), schema)
 
 
-def _salted(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with the one row of facts that has their keys; a key's rows are dealt to SALTS tasks."""
-    each = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_h", "p"), F.lit(SALTS)).cast("int")).join(each, [*keys, "_salt"]).drop("_salt")
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of lines as the maximal runs that they make up."""
     for batch in batches:
@@ -150,13 +143,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place: Column = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("p").alias("p"))
     rows = stored(fingerprints(docs, id_col, text_col, min_words))
     marks = rows.groupBy("mark").agg(F.count("*").alias("_n"), (F.min("around") < F.max("around")).alias("_several")).filter("_n > 1").drop("_n")
-    repeated = _salted(rows, marks, ["mark"])
+    repeated = dealt(rows, marks, ["mark"], PLACE)
     first = repeated.groupBy("mark", "around").agg(F.min(place).alias("_first"))
-    judged = _salted(repeated, first, ["mark", "around"]).withColumn("_later", place > F.col("_first")).filter("_later or _several")
+    judged = dealt(repeated, first, ["mark", "around"], PLACE).withColumn("_later", place > F.col("_first")).filter("_later or _several")
     judged = stored(judged.select("_id", "_h", "mark", "p", "a", "b", F.when(~F.col("_later"), F.col("_windows")).alias("_windows")))
     open_ = judged.filter("_windows is not null").select("_id", "_h", "mark", "p", F.inline("_windows"))
     firsts = open_.groupBy("mark", "w").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    matched = _salted(open_, firsts, ["mark", "w"]).filter(place > F.col("_first"))
+    matched = dealt(open_, firsts, ["mark", "w"], PLACE).filter(place > F.col("_first"))
     spans = judged.filter("_windows is null").select("_id", "_h", "a", "b").unionByName(matched.select("_id", "_h", "a", "b"))
     of_text = spans.groupBy("_id", "_h").agg(F.collect_set(F.struct("a", "b")).alias("_runs"))
     return of_text.mapInArrow(_merged, f"_id {rows.schema['_id'].dataType.simpleString()}, _h long, _runs array<struct<a: int, b: int>>")

@@ -5,16 +5,23 @@
    packed into a sketch. Texts with equal sets are one class.
 2. Classes that share a band key are candidates. Their similarity is estimated
    by counting equal low bits and correcting for chance collisions; candidates
-   MARGIN (5 standard errors) below the threshold are dropped. Buckets
-   are cut into blocks of BLOCK classes, a task compares two blocks at a time
-   and returns stars, never pairs. Their components are families.
-3. In each family every two blocks of classes are compared on their full sets.
-   Those at or above the threshold are linked; again only stars are returned.
-   Components of these links are the result.
-
-So a hot bucket or family is spread over tasks of bounded size, and the rows
-made stay linear in the classes of a block. The comparisons inside one family
-are quadratic in its number of different sets.
+   that are ERRORS standard errors below the threshold are dropped. Components
+   of the others are families.
+3. In each family classes are compared on their full sets. Those at or above
+   the threshold are linked; components of these links are the result.
+
+Only components are wanted, so not all pairs of a large bucket or family need
+comparing. Its members are cut into blocks of at most BLOCK classes (and BYTES
+of sets), each block takes in the same few LEADERS as well, and pairs inside a
+block are compared; tasks return stars, never pairs. What the leaders tie
+together is one component already. Only members outside the largest component
+are then compared with all others, chunk by block. So a large group costs tasks
+of bounded size, about as many as its blocks, and is quadratic only in those of
+its members that its leaders do not reach; no link between different texts is
+left out.
+
+What is lost: pairs at the threshold that share no band, (1 - s**ROWS)**BANDS of
+them (5e-8 at 0.80), and pairs that the estimate drops, about 1e-9.
 
 Defined results: letters A to Z are lower-cased; a null text, or one without
 words, has no shingles and is linked with nothing; with fewer words than a
@@ -25,7 +32,7 @@ result. Columns other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import checkpointed, packed, text_slices, unpacked
+from .common import SALTS, checkpointed, dealt, packed, stored, text_slices, unpacked
 from .components import components
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS, BITS = 25, 5, 4
-MARGIN = 0.19
-BLOCK = 512
+BANDS, ROWS, BITS = 32, 4, 4
+ERRORS = 6
+BLOCK, BYTES, LEADERS = 512, 1 << 26, 16
 _rng = np.random.default_rng(977)
 MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -119,6 +126,13 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - unequal / (BANDS * ROWS) - chance) / (1 - chance)
 
 
+def margin(similarity: float) -> float:
+    """ERRORS standard errors of the estimate of a pair of that similarity."""
+    chance = 1.0 / (1 << BITS)
+    equal = similarity + (1 - similarity) * chance
+    return ERRORS * (equal * (1 - equal) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+
+
 def stars(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix of links, the least row that it is connected to."""
     label = np.arange(len(linked))
@@ -182,15 +196,15 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _cross(side: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Pairs that this task compares: of the two blocks i and j, or all inside block i."""
-    return side[:, None] != side[None, :] if i != j else np.ones((len(side), len(side)), bool)
+def _cross(left: np.ndarray, chunk: int) -> np.ndarray:
+    """Pairs that a task compares: all of a block, or those of a chunk of leftovers with a block's members."""
+    return left[:, None] != left[None, :] if chunk >= 0 else np.ones((len(left), len(left)), bool)
 
 
 def _candidates(least_similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
-        for group in grouped(batches, 3):  # bucket, i, j, side, node, sketch
+        for group in grouped(batches, 3):  # bucket, block, chunk, left, node, sketch
             if group.num_rows < 2:
                 continue
             group = group.combine_chunks()
@@ -201,7 +215,7 @@ def _candidates(least_similarity: float):
                     out_a.append(nodes[0])
                     out_b.append(nodes[1])
             else:
-                a, b = _star_rows(nodes, (estimated(s, s) >= least_similarity) & _cross(group.column(3).to_numpy(), group.column(1)[0].as_py(), group.column(2)[0].as_py()))
+                a, b = _star_rows(nodes, (estimated(s, s) >= least_similarity) & _cross(group.column(3).to_numpy(zero_copy_only=False), group.column(2)[0].as_py()))
                 out_a += a
                 out_b += b
             if len(out_a) > 20_000:
@@ -242,24 +256,43 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, 3):  # family, i, j, side, node, set
+        for group in grouped(batches, 3):  # family, block, chunk, left, node, set
             if group.num_rows < 2:
                 continue
             nodes = np.array(group.column(4).to_pylist(), object)
             sets = [np.frombuffer(x, np.uint64) for x in group.column(5).to_pylist()]
-            cross = _cross(group.column(3).to_numpy(), group.column(1)[0].as_py(), group.column(2)[0].as_py())
+            cross = _cross(group.column(3).to_numpy(zero_copy_only=False), group.column(2)[0].as_py())
             yield _edges(*_star_rows(nodes, linked_sets(sets, percent) & cross))
 
     return run
 
 
-def _blocks(rows: DataFrame, key: str, n: str, payload: str) -> DataFrame:
-    """Rows (key, node, payload, n of the key) as (key, i, j, side, node, payload): for each pair of the key's blocks, grouped and sorted."""
-    parts = F.ceil(F.col(n) / BLOCK).cast("int")
-    out = rows.withColumn("_parts", parts).withColumn("side", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-    out = out.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    out = out.select(key, F.least("side", "_y").alias("i"), F.greatest("side", "_y").alias("j"), "side", "node", payload)
-    return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+def _tied(rows: DataFrame, key: str, payload: str, compare: Callable) -> DataFrame:
+    """node and root for all nodes that compare() ties to others: rows (key, node, payload, _n and _parts of the key, its members and blocks)."""
+    many = F.col("_parts") > 1
+    block = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.col("_parts") - 1)
+    leads = many & (F.pmod(F.xxhash64("node", F.lit("leads")), F.col("_n")) < LEADERS)
+    schema = "a binary, b binary"
+
+    def linked(some: DataFrame) -> DataFrame:
+        some = some.select(key, "_block", "_chunk", "_left", "node", payload)
+        return some.repartition(key, "_block", "_chunk").sortWithinPartitions(key, "_block", "_chunk").mapInArrow(compare, schema)
+
+    inside = rows.withColumn("_block", F.explode(F.when(leads, all_blocks).otherwise(F.array(block)))).withColumn("_chunk", F.lit(-1)).withColumn("_left", F.lit(False))
+    known = components(linked(inside))
+    # members of large groups outside the group's largest component meet all others
+    large = rows.filter(many).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = large.groupBy(key, "root", "_n").agg(F.count("*").alias("_m")).groupBy(key).agg(F.max(F.struct("_m", "root")).alias("_top"), F.first("_n").alias("_all"))
+    left = sizes.select(key, F.col("_top.root").alias("_main"), F.ceil((F.col("_all") - F.col("_top._m")) / BLOCK).cast("int").alias("_chunks")).filter("_chunks > 0")
+    left = checkpointed(left)
+    if left.isEmpty():
+        return known
+    large = dealt(large, left, [key], ["node"])
+    members = large.withColumn("_block", block).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).withColumn("_left", F.lit(False))
+    others = large.filter("root <> _main").withColumn("_block", F.explode(all_blocks)).withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit("left")), F.col("_chunks")).cast("int")).withColumn("_left", F.lit(True))
+    more = linked(members.unionByName(others))
+    return components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS) -> DataFrame:
@@ -273,34 +306,35 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """One row per document: _id, _h, n_shingles, component_id."""
     sig = signed(docs, id_col, text_col, n_words)
     first = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_h").alias("h"))
-    classes = checkpointed(sig.filter("node is not null").groupBy("node").agg(F.min(first).alias("_first"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")))
+    classes = checkpointed(sig.filter("node is not null").groupBy("node").agg(F.min(first).alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")))
     keyed = classes.select("node", F.explode("_keys").alias("_key"))
     buckets = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    members = keyed.join(buckets, "_key").join(classes.select("node", "_sketch"), "node")
-    candidates = _blocks(members, "_key", "_n", "_sketch").mapInArrow(_candidates(percent / 100 - MARGIN), "a binary, b binary")
-    families = components(candidates)
+    members = dealt(keyed, buckets, ["_key"], ["node"]).join(classes.select("node", "_sketch"), "node")
+    least = percent / 100 - margin(percent / 100)
+    families = _tied(members.withColumn("_parts", F.ceil(F.col("_n") / BLOCK).cast("int")), "_key", "_sketch", _candidates(least))
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    sizes = families.groupBy("root").agg(F.count("*").alias("_n"))
-    chosen = checkpointed(families.join(sizes, "root").join(classes.select("node", F.col("_first.id").alias("_id"), F.col("_first.h").alias("_h")), "node"))
+    members = families.join(classes.select("node", "n_shingles", F.col("_first.id").alias("_id"), F.col("_first.h").alias("_h")), "node")
+    sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_sum"))
+    parts = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_sum") * 8 / BYTES)).cast("int")
+    chosen = checkpointed(dealt(members, sizes.select("root", "_n", parts.alias("_parts")), ["root"], ["node"]).select("node", "root", "_n", "_parts", "_id", "_h"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in text_slices(batch.column(3)):
+            for lo, hi, data, off in text_slices(batch.column(4)):
                 sets = pa.array([s.tobytes() for s in shingles(data, off, n_words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), sets], names=["node", "root", "_n", "_set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(4)), sets], names=["node", "family", "_n", "_parts", "_set"])
 
     texts = docs.select(F.col(id_col).alias("_tid"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_th"), F.col(text_col).cast("string").alias("_text"))
-    wanted = texts.join(chosen, F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("node", "root", "_n", "_text")
-    sets = wanted.mapInArrow(full_sets, "node binary, root binary, _n long, _set binary")
-    links = _blocks(sets, "root", "_n", "_set").mapInArrow(_confirmed(percent), "a binary, b binary")
-    found = components(links)
+    wanted = texts.join(chosen, F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("node", "root", "_n", "_parts", "_text")
+    sets = wanted.mapInArrow(full_sets, "node binary, family binary, _n long, _parts int, _set binary")
+    # read twice where a family is large: stored, so that texts are joined and cut into shingles once
+    found = _tied(stored(sets), "family", "_set", _confirmed(percent))
     named = classes.select("node", F.col("_first.id").alias("_id")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("_id").alias("component_id"))
-    named = named.join(names, "root").select("node", "component_id")
+    named = dealt(named, names, ["root"], ["node"]).select("node", "component_id")
     # copies of one set are a hot node: both sides are salted
-    salts = 16
-    salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = sig.select("_id", "_h", "n_shingles", "node").withColumn("_salt", F.pmod(F.xxhash64("_id", "_h"), F.lit(salts)).cast("int"))
+    salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(2 * SALTS - 1))))
+    rows = sig.select("_id", "_h", "n_shingles", "node").withColumn("_salt", F.pmod(F.xxhash64("_id", "_h"), F.lit(2 * SALTS)).cast("int"))
     return rows.join(salted, ["node", "_salt"], "left").select("_id", "_h", "n_shingles", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
