@@ -12,10 +12,24 @@ sorted as they are, so they are narrowed first, without losing one:
    stands in a third of all documents sends a row for each task.
 3. What is left, the smallest id's fragments under keys with several different
    ones, is fetched as text, divided by 33 bytes around the key's place, and
-   its windows are suffix-sorted to LENGTH bytes: by multikey quicksort on
-   words of 8 bytes to SHALLOW bytes, and the groups that still agree by blind
-   tries. In each group of equal windows those above the smallest id go. Keys
-   with more than HOT such fragments are divided into single windows instead.
+   its windows are suffix-sorted to LENGTH bytes. In each group of equal windows
+   those above the smallest id go.
+
+A key in very many different fragments (a passage shorter than LENGTH between
+ever other words) would fill one task. Keys that have more than HOT of them, as a
+sample of documents tells, are dealt by fragment instead of by key, and all that
+is left of them is divided into single windows, dealt by their own hash. That
+costs more and finds the same: which keys the sample names, and how many of them
+(HOT_KEYS at most), changes where the work is done but no result.
+
+The sort is deep-shallow, of all keys' windows at once in arrays: multikey
+quicksort parts each group by a pivot into less, equal and greater, with words of
+8 bytes for characters, and goes one word deeper in what is equal, down to SHALLOW
+bytes. Groups that still agree are ordered by blind tries, built level by level: a
+group's first suffix is a path, the others leave it at a branching place by a
+branching byte, which is all that orders them against it, and those that leave
+together are a trie below that branch. The place is found by comparing words with
+the path once, so the check that a blind descent needs at its end is part of it.
 
 Defined results: a null text is empty; ids must be integers, a null id counts
 as larger than all others; rows with equal ids do not remove each other's
@@ -41,8 +55,8 @@ LENGTH, GRAM, SHALLOW = 50, 16, 16
 LAST = (1 << 63) - 1
 #: Rows of one task that are thinned out together, and bytes sorted together.
 HELD, SORTED = 1_000_000, 1 << 22
-#: Open fragments under one key above which they are dealt window by window.
-HOT = 10_000
+#: Different fragments under one key above which it is hot, the documents (one of so many) that this is judged by, and the most keys so named.
+HOT, HOT_EVERY, HOT_KEYS = 10_000, 64, 1 << 16
 U = np.uint64
 
 
@@ -107,7 +121,8 @@ def thinned(key: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 #: What is known of a row: its fragment waits to be compared; it goes whole; it must be compared as text.
-WAITS, GOES, OPEN = 0, 1, 2
+#: Rows of a hot key wait, and are open, in a state of their own.
+WAITS, GOES, OPEN, HOT_OPEN = 0, 1, 2, 3
 ROWS = "key long, digest long, doc long, th long, packed long"
 
 
@@ -120,8 +135,23 @@ def _rows(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, th: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, digest, doc, th, packed)], names=["key", "digest", "doc", "th", "packed"])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments of doc, th, text; those that a smaller document of the same task covers are settled here."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key and digest of the fragments of texts."""
+    for batch in batches:
+        for _, _, data, off in text_slices(batch.column(0)):
+            key, digest, *_ = fragments(data, off)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))], names=["key", "digest"])
+
+
+def hot_keys(texts: DataFrame, hot: int = HOT, every: int = HOT_EVERY) -> np.ndarray:
+    """Keys that in one of every texts have their share of hot different fragments, the most frequent HOT_KEYS."""
+    some = texts.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(every)) == 0).select("text").mapInArrow(_contexts, "key long, digest long")
+    counts = some.distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot / every)
+    return np.sort(np.array([r.key for r in counts.orderBy(F.col("n").desc(), "key").limit(HOT_KEYS).collect()], np.int64).view(np.uint64))
+
+
+def _gather(batches: Iterator[pa.RecordBatch], hot: np.ndarray = np.empty(0, np.uint64)) -> Iterator[pa.RecordBatch]:
+    """Fragments of doc, th, text; those that a smaller document of the same task covers are settled here. Rows of hot keys have key and digest together for a key, and the key for a digest."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -131,9 +161,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         order, covered, number, several = thinned(key, digest, doc)
         doc, th, start, length = doc[order], th[order], start[order], length[order]
+        key, digest = key[order], digest[order]
+        is_hot = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
+        dealt, second = np.where(is_hot, K.mix(key * U(0xA0761D6478BD642F) + digest), key), np.where(is_hot, key, digest)
         # settled rows need no key and are dealt by place
-        key = np.where(covered, K.mix(doc.astype(np.uint64) * U(31) + start.astype(np.uint64)), key[order])
-        yield _rows(key, np.where(covered, U(0), digest[order]), doc, th, _packed(start, length, several[0][number], np.where(covered, GOES, WAITS)))
+        dealt = np.where(covered, K.mix(doc.astype(np.uint64) * U(31) + start.astype(np.uint64)), dealt)
+        yield _rows(dealt, np.where(covered, U(0), second), doc, th, _packed(start, length, several[0][number], np.where(covered, GOES, np.where(is_hot, HOT_OPEN, WAITS))))
 
     for batch in batches:
         doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -148,12 +181,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: settled ones pass; of the others come those that go whole or are open."""
     held: list[list[np.ndarray]] = []
+    most = HELD
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         passed = (cols[4] & 3) == GOES
         if passed.any():
             yield _rows(*(x[passed] for x in cols))
-        key, digest, doc, th, packed = (x[~passed] for x in cols)
+        hot = (cols[4] & 3) == HOT_OPEN
+        if hot.any():
+            dealt, key, doc, th, packed = (x[hot] for x in cols)
+            order, covered, _, _ = thinned(dealt, key, doc)
+            yield _rows(key[order], key[order], doc[order], th[order], (packed[order] & ~np.int64(3)) | np.where(covered, GOES, HOT_OPEN))
+        key, digest, doc, th, packed = (x[~passed & ~hot] for x in cols)
         if len(key):
             order, covered, number, several = thinned(key, digest, doc)
             known = np.zeros(several.shape[1], bool)
@@ -167,12 +206,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [c.to_numpy() for c in batch.columns]
         cols[0], cols[1] = cols[0].view(np.uint64), cols[1].view(np.uint64)
         held.append(cols)
-        if sum(len(x[0]) for x in held) > HELD:
+        if sum(len(x[0]) for x in held) > most:
             cols = [np.concatenate(x) for x in zip(*held)]
             # the last key may go on
             other = np.flatnonzero(cols[0] != cols[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             held = [[x[cut:] for x in cols]]
+            # rows of one key are put together anew only when they have doubled
+            most = max(HELD, 2 * len(held[0][0]))
             if cut:
                 yield from done([x[:cut] for x in cols])
     if held:
@@ -283,31 +324,67 @@ def _regrouped(group: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.cumsum(new) - 1
 
 
-def suffix_groups(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of the group of equal LENGTH-byte strings that start at each place; numbers are in the strings' order.
+def multikey_quicksort(w8: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that start at each place, group by group, to SHALLOW bytes, and flags of the first of equal ones in that order.
 
-    Deep-shallow: words of 8 bytes split the suffixes, and only groups of more
-    than one go on, to SHALLOW bytes. Then all groups' blind tries are built
-    at once: a group's first suffix is the path, the others leave it at a
-    branching place by a branching byte, which is all that orders them against
-    it; those that leave together go on as a group below that branch.
+    Each round parts every open group at once by the median of its first, middle
+    and last word: less and greater stay at their depth, equal goes one deeper.
+    """
+    n = len(at)
+    order = np.argsort(group, kind="stable")
+    first = np.ones(n, bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    depth = np.zeros(n, np.int64)
+    some = np.arange(n)
+    while True:
+        # open groups: of two suffixes or more, and not yet at the shallow depth
+        begin = np.flatnonzero(first[some])
+        size = np.diff(np.append(begin, len(some)))
+        going = np.repeat((size > 1) & (depth[some[begin]] < SHALLOW), size) if len(some) else np.zeros(0, bool)
+        some = some[going]
+        if not len(some):
+            return order, first
+        begin = np.flatnonzero(first[some])
+        size = np.diff(np.append(begin, len(some)))
+        word = w8[at[order[some]] + depth[some]]
+        three = np.sort(np.stack([word[begin], word[begin + size // 2], word[begin + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = np.where(word < pivot, 0, np.where(word == pivot, 1, 2))
+        # a stable partition: where a group starts, then how many are before on its own side or on lesser ones
+        start = np.repeat(begin, size)
+        place = np.zeros(len(some), np.int64)
+        ahead = start.copy()
+        for k in range(3):
+            own = side == k
+            before = np.cumsum(own) - own
+            here = before[begin]
+            place[own] = (ahead + before - np.repeat(here, size))[own]
+            ahead = ahead + np.repeat(np.add.reduceat(own.astype(np.int64), begin), size)
+        moved, sides = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
+        moved[place], sides[place] = order[some], side
+        order[some] = moved
+        depth[some] += 8 * (sides == 1)
+        new = first[some]
+        new[1:] |= sides[1:] != sides[:-1]
+        first[some] = new
+
+
+def suffix_groups(data: np.ndarray, at: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Number of the group of equal LENGTH-byte strings (of one of keys) that start at each place; numbers are in the order of keys and strings.
+
+    Deep-shallow: multikey quicksort to SHALLOW bytes. Then all groups' blind
+    tries are built at once: a group's first suffix is the path, the others
+    leave it at a branching place by a branching byte, which is all that orders
+    them against it; those that leave together go on as a group below that
+    branch.
     """
     n = len(at)
     padded = np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)])
     w8 = words8(padded)
     masks = [U(0xFFFFFFFFFFFFFFFF)] * (LENGTH // 8) + ([U((0xFFFFFFFFFFFFFFFF << (64 - 8 * (LENGTH % 8))) & 0xFFFFFFFFFFFFFFFF)] if LENGTH % 8 else [])
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)
-    active = np.ones(n, bool)
-    for depth in range(0, SHALLOW, 8):
-        some = np.flatnonzero(active)
-        o, _ = _regrouped(group[some], w8[at[order[some]] + depth])
-        order[some] = order[some][o]
-        word = w8[at[order] + depth]
-        new = np.ones(n, bool)
-        new[1:] = (group[1:] != group[:-1]) | (active[1:] & (word[1:] != word[:-1]))
-        group = np.cumsum(new) - 1
-        active = np.bincount(group)[group] > 1
+    order, first = multikey_quicksort(w8, at, np.zeros(n, np.int64) if keys is None else keys)
+    group = np.cumsum(first) - 1
+    active = np.bincount(group)[group] > 1
     # each suffix's place in the final order is told by its path of (group, rank) steps; ranks refine the groups
     some = np.flatnonzero(active)
     while len(some):
@@ -385,7 +462,9 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         row = np.repeat(np.arange(len(parts)), n_windows)
         first = np.concatenate([[0], np.cumsum(n_windows)])
         inner = np.arange(len(row)) - first[row]
-        group = suffix_groups(np.frombuffer(b"".join(parts), np.uint8), off[row] + inner)
+        k2 = t.column("k2").to_numpy()
+        key = np.concatenate([[0], np.cumsum(k2[1:] != k2[:-1])])  # parts come sorted by k2
+        group = suffix_groups(np.frombuffer(b"".join(parts), np.uint8), off[row] + inner, key[row])
         least = np.full(int(group.max()) + 1, LAST, np.int64)
         np.minimum.at(least, group, doc[row])
         goes = doc[row] > least[group]
@@ -449,20 +528,20 @@ def _cut(keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_fragments: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_fragments: int = HOT, hot_every: int = HOT_EVERY) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes)."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     counted = docs.groupBy(doc.alias("d")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     # the text's hash tells rows with equal ids apart; where there are none it need not be sent about
     th = F.lit(0).cast("long") if (counted or 0) <= 1 else F.coalesce(F.xxhash64(text_col), F.lit(0))
     texts = docs.select(doc.alias("doc"), th.alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gathered = texts.mapInArrow(_gather, ROWS)
+    named = hot_keys(texts, hot_fragments, hot_every)
+    gathered = texts.mapInArrow(lambda it: _gather(it, named), ROWS)
     start, length, state = F.shiftright("packed", 32).cast("int"), F.shiftright("packed", 3).bitwiseAND(F.lit((1 << 29) - 1)).cast("int"), F.col("packed").bitwiseAND(F.lit(3))
     known = gathered.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, ROWS)
-    settled = stored(known.select(F.when(state == OPEN, F.col("key")).alias("key"), "doc", "th", start.alias("start"), length.alias("length"), state.alias("state")))
-    waiting = settled.filter(F.col("state") == OPEN)
-    hot = waiting.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_fragments).select(F.col("key").alias("_k"))
-    waiting = waiting.join(hot, F.col("key") == F.col("_k"), "left").withColumn("hot", F.col("_k").isNotNull())
+    is_open = state.isin(OPEN, HOT_OPEN)
+    settled = stored(known.select(F.when(is_open, F.col("key")).alias("key"), "doc", "th", start.alias("start"), length.alias("length"), state.alias("state")))
+    waiting = settled.filter(F.col("state").isin(OPEN, HOT_OPEN)).withColumn("hot", F.col("state") == HOT_OPEN)
     places = waiting.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "length", "key", "hot")).alias("_f")).withColumnsRenamed({"doc": "_d", "th": "_t"})
     open_texts = texts.join(places, (F.col("doc") == F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc", "th", "text", "_f.start", "_f.length", "_f.key", "_f.hot")
     parts = open_texts.mapInArrow(_parts, "k2 long, doc long, th long, starts array<int>, bytes binary")

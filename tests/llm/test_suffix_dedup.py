@@ -59,10 +59,30 @@ def test_against_brute_force(spark):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "'x' as key", "1 as doc", "2 as part")
         for hot in (S.HOT, 3, 0):
-            got = sorted(map(tuple, S.suffix_dedup(docs, keep_text=False, hot_fragments=hot).collect()), key=str)
+            got = sorted(map(tuple, S.suffix_dedup(docs, keep_text=False, hot_fragments=hot, hot_every=1).collect()), key=str)
             assert got == plain(rows)
 
 
+def test_hot_passage_in_many_contexts(spark):
+    """A string shorter than a window between ever other words, in every document: hot or not, sampled or not, the same result."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    rows = [(i, f"{word()} the very same forty bytes in every one of them {rng.choice('xyz') * 9}{word()}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for hot, every in ((10**9, 1), (50, 1), (50, 4)):
+        if hot < 400:
+            assert 0 < len(S.hot_keys(docs, hot, every)) < 100
+        assert sorted(map(tuple, S.suffix_dedup(docs, keep_text=False, hot_fragments=hot, hot_every=every).collect()), key=str) == plain(rows)
+
+
+def test_long_text(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abc \n") for _ in range(400_000))
+    rows = [(1, long), (2, "z" * 60 + long[1000:300_000]), (3, "ab" * 150_000)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False).collect()}
+    assert got == {1: (0, 0), 2: (299_000, 1), 3: (0, 0)}
+
+
 def test_across_flushes(monkeypatch):
     rows = corpus(11)
     held = []
