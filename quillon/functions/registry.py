@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expressions import register
+from .scalars import variant
 
 KINDS = ("column", "transform", "aggregate", "filter")
 
@@ -36,6 +37,15 @@ class Registry:
     def get(self, name: str, version: int | None = None) -> Entry:
         return self.entries[name][-1 if version is None else version - 1]
 
+    def routed(self, name: str, key: Column, shares: dict[int, float]) -> Column:
+        """The function's versions by shares of the keys, each key always by the same one."""
+        chosen = variant(key, name, [(str(v), s) for v, s in shares.items()])
+        call = lambda v: self.get(name, v).build(*[F.col(c) for c in self.get(name, v).inputs])
+        out = None
+        for v in shares:
+            out = F.when(chosen == str(v), call(v)) if out is None else out.when(chosen == str(v), call(v))
+        return out
+
     def on_demand(self, *inputs: str) -> Callable:
         """Decorator of a Column function; it can be used in expressions as well."""
 

@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 
 def intervals(start: str, end: str, seconds: int) -> list[tuple[datetime, datetime]]:
     a, b = datetime.fromisoformat(start), datetime.fromisoformat(end)
@@ -30,13 +32,17 @@ def recomputed(old: DataFrame, rows: DataFrame, dirty: DataFrame, key: str, buil
     return old.join(dirty, key, "left_anti").unionByName(build(rows.join(dirty, key, "left_semi")))
 
 
-def merkle_root(events: DataFrame, order: str, body: str, fan: int = 256) -> DataFrame:
-    """One row: n and root. Digests of runs of fan events in order of a dense integer key, then of those digests, until one is left."""
+def merkle_root(events: DataFrame, order: str, body: str) -> DataFrame:
+    """One row: n and root (hex). Leaves are the SHA-256 of each body in order of a dense integer key; a node is that of its two children's bytes, an odd one's of its own twice, until one is left."""
     n = events.count()
-    level = events.select(F.col(order).cast("long").alias("i"), F.sha2(F.col(body), 256).alias("d"))
-    most = events.agg(F.max(order)).first()[0] or 0
-    while True:
-        level = level.groupBy(F.expr(f"i div {fan}").alias("i")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"])), 256).alias("d"))
-        most //= fan
-        if most == 0:
-            return level.select(F.lit(n).cast("long").alias("n"), F.col("d").alias("root"))
+    least = events.agg(F.min(order)).first()[0] or 0
+    level = events.select((F.col(order) - least).cast("long").alias("i"), F.unhex(F.sha2(F.col(body), 256)).alias("d"))
+    left = n
+    while left > 1:
+        # children of a node lie side by side: their nodes are made in runs of one partition for as long as there are many
+        pair = F.array_sort(F.collect_list(F.struct("i", "d")))
+        both = F.concat(pair[0]["d"], F.coalesce(F.get(pair, F.lit(1))["d"], pair[0]["d"]))
+        level = level.groupBy(F.expr("i div 2").alias("i")).agg(F.unhex(F.sha2(both, 256)).alias("d"))
+        left = (left + 1) // 2
+        level = checkpointed(level)
+    return level.select(F.lit(n).cast("long").alias("n"), F.lower(F.hex("d")).alias("root"))

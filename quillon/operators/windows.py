@@ -73,3 +73,14 @@ def late(df: DataFrame, keys: list[str], allowed_seconds: int, order: list[str],
     """Whether a row, in arrival order, comes more than so long after the greatest instant before it."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.unix_micros(ts) < F.max(F.unix_micros(ts)).over(w) - allowed_seconds * 1_000_000, F.lit(False))
+
+
+def closed(results: DataFrame, now: str, late_seconds: int) -> DataFrame:
+    """Windows (window_start, window_end) that are closed at an instant: their end and the lateness lie before it."""
+    return results.filter(F.unix_micros("window_end") + late_seconds * 1_000_000 < F.unix_micros(F.lit(now).cast("timestamp")))
+
+
+def join_watermark(left: DataFrame, right: DataFrame, grace_seconds: float, keys: list[str], ts: str = "ts") -> DataFrame:
+    """keys and watermark: the least instant that either side has buffered, less the grace."""
+    both = left.select(*keys, ts).unionByName(right.select(*keys, ts))
+    return both.groupBy(*keys).agg(F.timestamp_micros(F.min(F.unix_micros(ts)) - int(grace_seconds * 1_000_000)).alias("watermark"))

@@ -31,13 +31,7 @@ def batch_lookup(spark, sf):
     return lookups.batch(features(spark, sf), spark.range(40).withColumnRenamed("id", "entity"), ["click", "purchase"])
 
 
-@query("op_S04_streaming_lookup", LAST.format("WHERE user_id < 10"))
-def streaming_lookup(spark, sf):
-    """Served row by row through toLocalIterator(); the plan is the point lookup's."""
-    return lookups.latest(features(spark, sf).filter("entity < 10")).withColumn("ts", micros("ts"))
-
-
-@query("op_S04_streaming_lookup_all", LAST.format(""))
+@query("op_S04_streaming_lookup", LAST.format(""))
 def streaming_lookup_all(spark, sf):
     """All entities asked for."""
     return lookups.latest(features(spark, sf)).withColumn("ts", micros("ts"))
@@ -58,12 +52,7 @@ def ticket_scan(spark, sf):
     return filters.scan(load(spark, sf, "events"), ["user_id", "event_type", "value"], [("user_id", "in", [1, 2, 5]), ("value", "gt", 10)])
 
 
-@query("op_S19_batch_serving", "SELECT e.c_custkey AS entity, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS spent FROM customer e LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 200 GROUP BY 1")
-def batch_serving(spark, sf):
-    return _served(spark, sf, load(spark, sf, "customer").filter("c_custkey < 200"))
-
-
-@query("op_S19_batch_serving_all", "SELECT e.c_custkey AS entity, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS spent FROM customer e LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("op_S19_batch_serving", "SELECT e.c_custkey AS entity, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS spent FROM customer e LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def batch_serving_all(spark, sf):
     """All customers asked for."""
     return _served(spark, sf, load(spark, sf, "customer"))
@@ -126,13 +115,7 @@ def subscription(spark, sf):
     return filters.subscribed(features(spark, sf), names=["click", "purchase"], entities=[1, 2, 3, 4]).select(F.col("version").alias("event_id"))
 
 
-@query("op_K07_point_in_time_export", """SELECT e.entity, d.day, (SELECT arg_max(value, (ts, event_id)) FROM events x WHERE x.user_id = e.entity AND x.event_type = 'purchase' AND x.ts <= d.at) AS purchase
-FROM (SELECT DISTINCT user_id AS entity FROM events WHERE user_id < 20) e, (SELECT x AS day, TIMESTAMP '2024-01-01' + to_days(x::INT) AS at FROM (SELECT unnest([5, 10, 20]) AS x)) d""")
-def point_in_time_export(spark, sf):
-    return _exported(features(spark, sf).filter("entity < 20"))
-
-
-@query("op_K07_point_in_time_export_all", """SELECT s.entity, s.day, p.value AS purchase
+@query("op_K07_point_in_time_export", """SELECT s.entity, s.day, p.value AS purchase
 FROM (SELECT entity, day, TIMESTAMP '2024-01-01' + to_days(day::INT) AS at FROM (SELECT DISTINCT user_id AS entity FROM events), (SELECT unnest([5, 10, 20]) AS day)) s
 ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON p.user_id = s.entity AND p.ts <= s.at""")
 def point_in_time_export_all(spark, sf):

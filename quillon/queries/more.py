@@ -92,14 +92,6 @@ def missing_features(spark, sf):
     return asked.join(features(spark, sf).select("entity", "feature").distinct(), "entity", "left").groupBy("entity").agg(F.count("feature").alias("n"))
 
 
-@query("op_G02_levels", "SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 1)) t(node, level)")
-def node_levels(spark, sf):
-    from ..operators.graphs import levels
-
-    out = levels({"a": [], "b": ["a"], "c": ["a", "b"], "d": ["a"]})
-    return spark.createDataFrame([(n, k) for k, names in enumerate(out) for n in names], "node string, level int")
-
-
 @query("op_S13_offline_sync", "SELECT user_id AS entity, event_type AS feature, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def offline_sync(spark, sf):
     """Current values after a sync from JSON lines and Parquet."""
@@ -136,12 +128,7 @@ def batch_sink(spark, sf):
     return spark.read.parquet(path).select("entity", "version")
 
 
-@query("op_K14_exchange_count", "SELECT count(*) AS n FROM events WHERE user_id < 50")
-def exchange_count(spark, sf):
-    return load(spark, sf, "events").filter("user_id < 50").agg(F.count("*").alias("n"))
-
-
-@query("op_K14_exchange_count_all", "SELECT count(*) AS n FROM events")
+@query("op_K14_exchange_count", "SELECT count(*) AS n FROM events")
 def exchange_count_all(spark, sf):
     return load(spark, sf, "events").agg(F.count("*").alias("n"))
 
@@ -158,13 +145,6 @@ def checkpoint_restore(spark, sf):
     return spark.read.parquet(sink)
 
 
-@query("op_T21_lifecycle", "SELECT 'stopped' AS after, 'pending' AS unknown")
-def lifecycle(spark, sf):
-    q = streams.Queries()
-    q.start("a", lambda: streams.routed(streams.events(spark, sf), {}, {}, spark)).awaitTermination()
-    return spark.createDataFrame([(q.status("a"), q.status("b"))], "after string, unknown string")
-
-
 @query("op_T23_change_pipeline", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def change_pipeline(spark, sf):
     """Change messages as a stream, applied after its end by their log positions."""

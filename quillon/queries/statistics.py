@@ -174,7 +174,11 @@ def experiment(spark, sf):
     return rounded(S.experiment(e, "variant", "value", "control"))
 
 
-@query("op_M24_significance")
+@query("op_M24_significance", """WITH v AS (SELECT CASE WHEN ('0x' || substr(sha256(user_id::VARCHAR || 'exp1'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE < 0.5 THEN 'control' ELSE 'test' END AS variant, value FROM events),
+g AS (SELECT variant, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM v GROUP BY 1),
+z AS (SELECT a.variant, abs((a.mean - c.mean) / sqrt(a.sd * a.sd / a.n + c.sd * c.sd / c.n)) / sqrt(2) AS z FROM g a, g c WHERE c.variant = 'control' AND a.variant <> 'control'),
+t AS (SELECT variant, z, 1 / (1 + 0.3275911 * z) AS t FROM z)
+SELECT variant, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z), 6) AS p_value FROM t""")
 def significance(spark, sf):
     e = load(spark, sf, "events").withColumn("variant", scalars.variant(F.col("user_id"), "exp1", [("control", 0.5), ("test", 0.5)]))
     out = S.experiment(e, "variant", "value", "control")
@@ -230,7 +234,8 @@ def sigma_classes(spark, sf):
     return e.crossJoin(stats).select("event_id", F.when(d > 3 * F.col("s"), "critical").when(d > 2 * F.col("s"), "warning").otherwise("normal").alias("class"))
 
 
-@query("op_M36_smoothed_rate")
+@query("op_M36_smoothed_rate", """SELECT entity, round(list_reduce(list_prepend(1.0::DOUBLE, list(gap ORDER BY ts, event_id)), lambda a, g: 0.7 * a + 0.3 / g), 6) AS rate
+FROM (SELECT user_id AS entity, ts, event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 3.6e9 AS gap FROM events) WHERE gap > 0 GROUP BY 1""")
 def smoothed_rate(spark, sf):
     """Exponentially smoothed events per hour of each entity, from 1.0."""
     w = Window.partitionBy("entity").orderBy("ts", "version")

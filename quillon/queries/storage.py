@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +11,15 @@ from ..functions.expressions import compiled
 from ..operators import maintenance
 from ..plans import catalog, composition, streamsql
 from ..registry import query
+from ..shared import new_path
 from ..sources import files
 from ..tables import features, load, micros
 from .statistics import BINS, halves, rounded
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the session's shared checkpoint folder; on one machine without such a folder, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="files-")
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return new_path(spark, "files")
 
 
 def through(df, fmt, schema=None, partition_by=None):
@@ -143,7 +140,10 @@ def jensen_shannon_floor(spark, sf):
     return rounded(S.divergences(*halves(spark, sf), "value", bins=20).select("js"))
 
 
-@query("op_M39_audit_root")
+@query("op_M39_audit_root", """WITH RECURSIVE l(k, i, d) AS (
+SELECT 0, row_number() OVER (ORDER BY event_id) - 1, unhex(sha256('{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}')) FROM events
+UNION ALL SELECT k + 1, i // 2, unhex(sha256(arg_min(d, i) || arg_max(d, i))) FROM l WHERE k < (SELECT ceil(log2(count(*))) FROM events) GROUP BY k, i // 2)
+SELECT (SELECT count(*) FROM events) AS n, lower(hex(d)) AS root FROM l WHERE k = (SELECT ceil(log2(count(*))) FROM events)""")
 def audit_root(spark, sf):
     return maintenance.merkle_root(load(spark, sf, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("body")), "event_id", "body")
 

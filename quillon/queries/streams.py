@@ -57,7 +57,9 @@ def global_window(spark, sf):
     return features(spark, sf).groupBy("feature").agg(F.count("*").alias("n"), R(F.sum("value"), 4).alias("s"))
 
 
-@query("op_T06_first_event_windows")
+@query("op_T06_first_event_windows", """WITH RECURSIVE e AS (SELECT user_id AS entity, epoch_us(ts) AS t, value FROM events),
+w(entity, a) AS (SELECT entity, min(t) FROM e GROUP BY 1 UNION ALL SELECT w.entity, min(e.t) FROM w JOIN e ON e.entity = w.entity AND e.t >= w.a + 3600000000 GROUP BY w.entity, w.a)
+SELECT w.entity, a AS window_start, count(*) AS n, round(sum(value), 6) AS s FROM w JOIN e ON e.entity = w.entity AND e.t >= a AND e.t < a + 3600000000 GROUP BY 1, 2""")
 def first_event_windows(spark, sf):
     """Windows that start at a key's first event after the last one ended."""
     return patterns.first_event_windows(features(spark, sf), "entity", 3600).select("entity", micros("window_start").alias("window_start"), "n", R("s", 6).alias("s"))

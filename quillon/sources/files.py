@@ -82,9 +82,9 @@ def blobs(spark: SparkSession, path: str, start: int | None = None, length: int
     return out
 
 
-def warehouse_query(table: str, entity: str, ts: str, columns: list[str], limit: int | None = None) -> str:
-    """SELECT of an import, with quoted identifiers."""
-    q = lambda n: '"' + n.replace('"', '""') + '"'
+def warehouse_query(table: str, entity: str, ts: str, columns: list[str], limit: int | None = None, quote: str = '"') -> str:
+    """SELECT of an import, with quoted identifiers; it takes no conditions, so none can be smuggled in."""
+    q = lambda n: quote + n.replace(quote, 2 * quote) + quote
     sql = f"SELECT {', '.join(map(q, [entity, ts, *columns]))} FROM {'.'.join(map(q, table.split('.')))}"
     return sql if limit is None else f"{sql} LIMIT {int(limit)}"
 

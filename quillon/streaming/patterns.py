@@ -53,25 +53,31 @@ def match_sequences(events: DataFrame, steps: list[str], seconds: int, key: str
             return
         partial = [tuple(p) for p in state.get[0]] if state.exists else []
         found = []
-        for _, row in pd.concat(list(batches)).sort_values(["ts"]).iterrows():
-            at = row["ts"].timestamp()
-            partial = [p for p in partial if at - p[1] <= seconds]
+        rows = pd.concat(list(batches))
+        at_all = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        order = at_all.argsort(kind="stable")
+        for at, name in zip(at_all[order].tolist(), rows[kind].to_numpy()[order].tolist()):
             after = []
-            for step, start in partial:
-                if row[kind] == steps[int(step)]:
+            for step, start, last in partial:
+                if at - start > seconds * 1_000_000:
+                    continue
+                if name == steps[step] and at > last:
                     if step + 1 == len(steps):
-                        found.append((k[0], pd.Timestamp(start, unit="s"), row["ts"]))
+                        found.append((k[0], start, at))
                     else:
-                        after.append((step + 1, start))
+                        after.append((step + 1, start, at))
                 else:
-                    after.append((step, start))
-            if row[kind] == steps[0]:
-                after.append((1, at))
+                    after.append((step, start, last))
+            if name == steps[0]:
+                after.append((1, at, at))
             partial = after
-        state.update(([list(map(float, p)) for p in partial],))
+        state.update(([list(p) for p in partial],))
         if state.getCurrentWatermarkMs() >= 0:
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + seconds * 1000 + 1)
-        yield pd.DataFrame(found, columns=[key, "first_ts", "last_ts"])
+        out = pd.DataFrame(found, columns=[key, "first_ts", "last_ts"])
+        for c in ("first_ts", "last_ts"):
+            out[c] = pd.to_datetime(out[c].astype("int64"), unit="us").astype("datetime64[us]").dt.tz_localize("UTC").dt.tz_convert(None)
+        yield out
 
     kind_of = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind_of}, first_ts timestamp, last_ts timestamp", "partial array<array<double>>", "append", "EventTimeTimeout")
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind_of}, first_ts timestamp, last_ts timestamp", "partial array<array<bigint>>", "append", "EventTimeTimeout")

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path
+
 
 def checkpoint_path(spark: SparkSession) -> str:
-    """A new folder for a query's state, under the shared checkpoint folder if the session names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a query's state, under the shared folder."""
+    return new_path(spark, "stream")
 
 
 def events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 4) -> DataFrame:
@@ -62,14 +61,28 @@ def joined(left: DataFrame, right: DataFrame, key: str, seconds: int, how: str =
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream yields until its input is used up, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint_path(spark)).trigger(availableNow=True).start()
+    """All that a stream yields until its input is used up, as a table in the shared folder.
+
+    In mode append the rows go to a file sink; in mode complete each batch
+    replaces the one before it: a folder for each, the last of which is read.
+    """
+    path = new_path(spark, "result")
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_path(spark)).trigger(availableNow=True)
+    last = []
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    q = (out.foreachBatch(replace) if mode == "complete" else out.format("parquet").option("path", path)).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    if mode == "complete":
+        path = f"{path}/batch={last[0]}" if last else path
+        return spark.read.schema(stream.schema).parquet(path) if last else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def routed(stream: DataFrame, routes: dict[str, str], sinks: dict[str, Callable[[DataFrame, int], None]], spark: SparkSession):
@@ -130,6 +143,9 @@ class Queries:
 
     def __init__(self):
         self.running: dict = {}
+        self.submitted: dict[str, Callable] = {}
+        self.paused: set[str] = set()
+        self.gone: set[str] = set()
 
     def start(self, name: str, begin: Callable):
         if name in self.running and self.running[name].isActive:
@@ -138,8 +154,38 @@ class Queries:
         return self.running[name]
 
     def status(self, name: str) -> str:
+        if name in self.paused:
+            return "paused"
         q = self.running.get(name)
-        return "pending" if q is None else "running" if q.isActive else "failed" if q.exception() else "stopped"
+        if q is None:
+            return "pending" if name in self.submitted else "deleted" if name in self.gone else "unknown"
+        return "running" if q.isActive else "failed" if q.exception() else "stopped"
+
+    def submit(self, name: str, begin: Callable) -> None:
+        """Keeps what starts a query; begin must give it the same checkpoint each time, so that it goes on where it was."""
+        if name in self.submitted:
+            raise ValueError(f"{name} is submitted")
+        self.submitted[name] = begin
+        self.gone.discard(name)
+
+    def run(self, name: str):
+        """Starts a submitted query, or goes on with a paused or stopped one."""
+        self.paused.discard(name)
+        return self.start(name, self.submitted[name])
+
+    def pause(self, name: str) -> None:
+        """Stops the query; its state stays in the checkpoint, and run() goes on from there."""
+        self.running[name].stop()
+        self.paused.add(name)
 
     def stop(self, name: str) -> None:
+        self.paused.discard(name)
         self.running[name].stop()
+
+    def delete(self, name: str) -> None:
+        """Stops and forgets a query."""
+        if name in self.running:
+            self.running.pop(name).stop()
+        self.submitted.pop(name, None)
+        self.paused.discard(name)
+        self.gone.add(name)
