@@ -163,6 +163,35 @@ def private_sum(df: DataFrame, field: str, low: float, high: float, epsilon: flo
     return df.agg(F.sum(clipped).alias("s")).select((F.col("s") + laplace(max(abs(low), abs(high)) / epsilon, seed)).alias("s"))
 
 
+def gaussian_scale(sensitivity: float, epsilon: float, delta: float) -> float:
+    """Deviation of the Gaussian noise that keeps (epsilon, delta)."""
+    import math
+
+    return sensitivity * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
+
+
+def private_mean(df: DataFrame, field: str, low: float, high: float, epsilon: float, seed: int, delta: float | None = None) -> DataFrame:
+    """Mean of clipped values: half of epsilon for the noisy sum, half for the noisy count; Gaussian noise where delta is given."""
+    clipped = F.least(F.greatest(F.col(field), F.lit(low)), F.lit(high))
+    reach, half = max(abs(low), abs(high)), epsilon / 2
+    noise = (lambda s, k: gaussian_scale(s, half, delta / 2) * F.randn(seed + k)) if delta else (lambda s, k: laplace(s / half, seed + k))
+    out = df.agg(F.sum(clipped).alias("s"), F.count(field).alias("n")).select((F.col("s") + noise(reach, 0)).alias("s"), F.greatest(F.col("n") + noise(1.0, 1), F.lit(1.0)).alias("n"))
+    return out.select(F.least(F.greatest(F.col("s") / F.col("n"), F.lit(low)), F.lit(high)).alias("mean"))
+
+
+def private_extreme(df: DataFrame, field: str, low: float, high: float, epsilon: float, seed: int, largest: bool = True) -> DataFrame:
+    """Greatest or least clipped value with Laplace noise for the whole range, clipped again."""
+    clipped = F.least(F.greatest(F.col(field), F.lit(low)), F.lit(high))
+    out = df.agg((F.max if largest else F.min)(clipped).alias("v"))
+    return out.select(F.least(F.greatest(F.col("v") + laplace((high - low) / epsilon, seed), F.lit(low)), F.lit(high)).alias("value"))
+
+
+def budgeted(requests: DataFrame, who: str, order: list[str], epsilon: str, total: float) -> DataFrame:
+    """requests with spent (the epsilons asked for so far, which add up) and allowed: whether they keep within the total."""
+    spent = F.sum(epsilon).over(Window.partitionBy(who).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return requests.withColumn("spent", F.round(spent, 9)).withColumn("allowed", F.col("spent") <= total)
+
+
 def randomized_response(truth: Column, epsilon: float, seed: int) -> Column:
     """The true answer with probability e**epsilon / (1 + e**epsilon), else the other."""
     import math

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -92,6 +92,57 @@ class InvertedLists:
         return of(order[:probes] + [i for i in order[probes:] if gaps[i] - self.radii.get(i, -np.inf) <= limit])
 
 
+class ProductQuantiser:
+    """Codes of vectors by parts: each of so many equal parts is the number of its nearest centroid, the first of equally near ones.
+
+    Centroids of a part are those of the rows with the least ids, a bounded number.
+    """
+
+    def __init__(self, vectors: DataFrame, parts: int = 8, centroids: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"):
+        if not 0 < centroids <= 256:
+            raise ValueError("a code is one byte")
+        self.id_col, self.vector_col = id_col, vector_col
+        rows = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).orderBy(id_col).limit(centroids).collect()
+        book = np.array([r["v"] for r in rows])
+        if book.shape[1] % parts:
+            raise ValueError("parts must be equally long")
+        self.parts, self.width, self.book = parts, book.shape[1] // parts, book.reshape(len(rows), parts, -1)
+
+    def codes(self, vectors: DataFrame) -> DataFrame:
+        """id and codes (an integer for each part)."""
+
+        @F.pandas_udf("array<int>")
+        def encode(v: pd.Series) -> pd.Series:
+            x = np.array(v.tolist(), float).reshape(len(v), self.parts, self.width)
+            gaps = np.stack([((x - c[None]) ** 2).sum(-1) for c in self.book], -1)
+            return pd.Series(list(gaps.argmin(-1).astype(np.int32)))
+
+        return vectors.select(self.id_col, encode(F.col(self.vector_col)).alias("codes"))
+
+    def decoded(self, codes: DataFrame) -> DataFrame:
+        """id and vector: the centroids that the codes name, one after another."""
+        book = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in self.book[c, p]]) for c in range(len(self.book))]) for p in range(self.parts)])
+        return codes.select(self.id_col, F.flatten(F.transform("codes", lambda c, p: F.get(F.get(book, p), c))).alias("vector"))
+
+    def search(self, codes: DataFrame, query: list[float], k: int) -> DataFrame:
+        """The k nearest by the distance of the query to the coded vectors, from one table of its distances to all centroids."""
+        q = np.array(query, float).reshape(self.parts, self.width)
+        table = ((self.book - q[None]) ** 2).sum(-1).T
+        lut = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in table])
+        d = F.sqrt(F.aggregate(F.transform("codes", lambda c, p: F.get(F.get(lut, p), c)), F.lit(0.0), lambda a, b: a + b))
+        return codes.select(self.id_col, F.round(d, 6).alias("distance")).orderBy("distance", self.id_col).limit(k)
+
+
+def duplicates(items: DataFrame, id_col: str, name_col: str, vector_col: str, least_cosine: float, least_name: float) -> DataFrame:
+    """a, b, cosine, name: pairs of a catalog (a table of names, which is small) alike both in vector and in name."""
+    side = lambda n: items.select(F.col(id_col).alias(n), F.col(name_col).alias(f"_{n}n"), F.col(vector_col).alias(f"_{n}v"))
+    # names that are alike share a letter pair: an equality join, not all pairs
+    grams = lambda n: side(n).withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(f"_{n}n") - 1, F.lit(1))), lambda i: F.substring(F.col(f"_{n}n"), i, F.lit(2))))))
+    met = grams("a").join(grams("b"), "_g").filter("a < b").drop("_g").dropDuplicates(["a", "b"])
+    met = met.select("a", "b", F.round(1 - cosine_distance(F.col("_av"), F.col("_bv")), 6).alias("cosine"), F.round(similar_names(F.col("_an"), F.col("_bn")), 6).alias("name"))
+    return met.filter((F.col("cosine") >= least_cosine) & (F.col("name") >= least_name))
+
+
 def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, pos, chunk: pieces of size characters that start size - overlap apart; the last may be shorter."""
     if not 0 <= overlap < size:
@@ -122,13 +173,13 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """Bag of words hashed into so many places, at unit length; zeros without words. Runs in Arrow batches."""
+    """Bag of words hashed (the first 8 hex digits of their md5) into so many places, at unit length; zeros without words. Runs in Arrow batches."""
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         out = np.zeros((len(texts), dims))
         for row, t in zip(out, texts):
-            at = [zlib.crc32(w.encode()) % dims for w in WORDS(t.lower())] if t else []
+            at = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in WORDS(t.lower())] if t else []
             row[:] = np.bincount(at, minlength=dims) if at else 0
         return pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)))
 

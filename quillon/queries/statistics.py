@@ -191,6 +191,25 @@ def privacy(spark, sf):
     return S.private_count(e, 1.0, 7).select(F.col("n").alias("noisy")).withColumn("kind", F.lit("count")).unionByName(S.private_sum(e, "value", 0, 100, 1.0, 8).select(F.col("s").alias("noisy")).withColumn("kind", F.lit("sum")))
 
 
+@query("op_M25_budget", "SELECT event_id, round(sum(0.25) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9)::DOUBLE AS spent, spent <= 2 AS allowed FROM events")
+def budget(spark, sf):
+    """Queries that a budget of 2 for each user allows, a quarter for each."""
+    e = load(spark, sf, "events").withColumn("epsilon", F.lit(0.25))
+    return S.budgeted(e, "user_id", ["ts", "event_id"], "epsilon", 2.0).select("event_id", "spent", "allowed")
+
+
+@query("op_M25_private_mean", "SELECT true AS mean_near, true AS gaussian_near, true AS greatest_near FROM events LIMIT 1")
+def private_mean(spark, sf):
+    """Noisy mean and greatest value at a large epsilon, against the true ones: within 1."""
+    e = load(spark, sf, "events")
+    true = e.agg(F.avg(F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(100.0))).alias("m"), F.least(F.max("value"), F.lit(100.0)).alias("x"))
+    a = S.private_mean(e, "value", 0.0, 100.0, 100.0, 3).withColumnRenamed("mean", "a")
+    b = S.private_mean(e, "value", 0.0, 100.0, 100.0, 5, 1e-5).withColumnRenamed("mean", "b")
+    x = S.private_extreme(e, "value", 0.0, 100.0, 2000.0, 7).withColumnRenamed("value", "v")
+    near = lambda p, q: (F.abs(F.col(p) - F.col(q)) <= 1).cast("boolean")
+    return true.crossJoin(a).crossJoin(b).crossJoin(x).select(near("m", "a").alias("mean_near"), near("m", "b").alias("gaussian_near"), near("x", "v").alias("greatest_near"))
+
+
 @query("op_M26_freshness_ttl", "SELECT feature, round(60 + (1 - v) * (86400 - 60), 3) AS ttl FROM (SELECT event_type AS feature, least(0.4 * least(avg(CASE WHEN value <> p THEN 1.0 ELSE 0.0 END), 1) + 0.3 * least(avg(abs(value - p)) / 100, 1) + 0.3 * least(stddev_samp(value) / 50, 1), 1) AS v FROM (SELECT event_type, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) WHERE p IS NOT NULL GROUP BY 1)")
 def freshness_ttl(spark, sf):
     p = F.lag("value").over(Window.partitionBy("entity", "feature").orderBy("ts", "version"))

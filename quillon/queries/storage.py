@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import statistics as S
 from ..functions import vectors as V
 from ..functions.expressions import compiled
-from ..operators import maintenance
+from ..operators import filters, maintenance
 from ..plans import catalog, composition, streamsql
 from ..registry import query
 from ..shared import new_path
 from ..sources import files
 from ..tables import features, load, micros
 from .statistics import BINS, halves, rounded
+from .vectors import BAG
 
 
 def scratch(spark: SparkSession) -> str:
@@ -174,7 +175,11 @@ def schema_merge(spark, sf):
     return spark.read.option("mergeSchema", True).parquet(path).select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query("op_X15_retrieval")
+COSINE = "round(list_dot_product(b, q) / (sqrt(list_dot_product(b, b)) * sqrt(list_dot_product(q, q))), 6)"
+PIECES = "SELECT item_id, pos, chunk FROM (SELECT item_id, pos::INT AS pos, text[pos * 250 + 1 : pos * 250 + 300] AS chunk FROM (SELECT item_id, text, unnest(range(0, greatest(ceil((length(text) - 50) / 250.0)::BIGINT, 1))) AS pos FROM benchmark WHERE length(text) > 0))"
+
+
+@query("op_X15_retrieval", f"SELECT item_id, pos, round(1 - coalesce({COSINE}, 0), 6) AS distance FROM (SELECT item_id, pos, {BAG.format('chunk')} AS b FROM ({PIECES})), (SELECT {BAG.format(repr('the of and'))} AS q) ORDER BY distance, item_id, pos LIMIT 5")
 def retrieval(spark, sf):
     """The chunks nearest to a question, by hashed bags of words."""
     chunks = V.chunks(load(spark, sf, "benchmark"), 300, 50, "item_id").withColumn("v", V.hash_embedding(F.col("chunk")))
@@ -182,7 +187,22 @@ def retrieval(spark, sf):
     return chunks.select("item_id", "pos", F.round(V.cosine_distance(F.col("v"), asked), 6).alias("distance")).orderBy("distance", "item_id", "pos").limit(5)
 
 
-@query("op_X12_semantic_search")
+@query("op_X15_filtered_retrieval", f"SELECT item_id, pos, round(1 - coalesce({COSINE}, 0), 6) AS distance FROM (SELECT item_id, pos, {BAG.format('chunk')} AS b FROM ({PIECES}) WHERE item_id % 2 = 1), (SELECT {BAG.format(repr('the of and'))} AS q) ORDER BY distance, item_id, pos LIMIT 5")
+def filtered_retrieval(spark, sf):
+    """Retrieval among the chunks whose metadata fit."""
+    chunks = V.chunks(load(spark, sf, "benchmark"), 300, 50, "item_id").withColumn("metadata", F.create_map(F.lit("odd"), (F.col("item_id") % 2).cast("string")))
+    some = filters.by_metadata(chunks, {"odd": "1"}).withColumn("v", V.hash_embedding(F.col("chunk")))
+    return some.select("item_id", "pos", F.round(V.cosine_distance(F.col("v"), V.hash_embedding(F.lit("the of and"))), 6).alias("distance")).orderBy("distance", "item_id", "pos").limit(5)
+
+
+@query("op_X12_semantic_search", f"SELECT item_id, {COSINE} AS score FROM (SELECT item_id, {BAG.format('text')} AS b FROM benchmark), (SELECT {BAG.format(repr('in the'))} AS q) WHERE {COSINE} > 0.1 ORDER BY score DESC, item_id LIMIT 10")
 def semantic_search(spark, sf):
     docs = load(spark, sf, "benchmark").withColumn("v", V.hash_embedding(F.col("text")))
     return docs.select("item_id", F.round(1 - V.cosine_distance(F.col("v"), V.hash_embedding(F.lit("in the"))), 6).alias("score")).filter("score > 0.1").orderBy(F.col("score").desc(), "item_id").limit(10)
+
+
+@query("op_X12_duplicates", f"SELECT a.item AS a, b.item AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS name FROM (SELECT p_partkey AS item, p_type AS name, {BAG.format('p_name')} AS v FROM part) a, (SELECT p_partkey AS item, p_type AS name, {BAG.format('p_name')} AS v FROM part) b WHERE a.item < b.item AND cosine >= 0.6 AND 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.5")
+def duplicates(spark, sf):
+    """Parts alike in their hashed names and in their types."""
+    p = load(spark, sf, "part").withColumn("v", V.hash_embedding(F.col("p_name")))
+    return V.duplicates(p, "p_partkey", "p_type", "v", 0.6, 0.5)

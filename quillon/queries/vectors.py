@@ -37,11 +37,20 @@ def scalar_quantiser(spark, sf):
     return V.quantised(load(spark, sf, "embeddings"))
 
 
-@query("op_V04_inverted_lists")
+@query("op_V04_inverted_lists", "SELECT vec_id, distance FROM (SELECT vec_id, round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)) ORDER BY distance, vec_id LIMIT 10")
 def inverted_lists(spark, sf):
     return V.InvertedLists(load(spark, sf, "embeddings")).search(first_vector(spark, sf), 10)
 
 
+@query("op_V04_product_quantiser", """WITH p AS (SELECT vec_id, part, embedding[part * 8 + 1 : part * 8 + 8]::DOUBLE[] AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 8)) AS part FROM embeddings)),
+c AS (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k FROM p QUALIFY k < 16),
+n AS (SELECT p.vec_id, p.part, arg_min(k, (list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k)) AS code FROM p JOIN c ON c.part = p.part GROUP BY 1, 2)
+SELECT vec_id, list(code::INT ORDER BY part) AS codes FROM n GROUP BY 1""")
+def product_quantiser(spark, sf):
+    e = load(spark, sf, "embeddings")
+    return V.ProductQuantiser(e, parts=8).codes(e)
+
+
 @query("op_V05_embedding_drift", "WITH p AS (SELECT label < 5 AS side, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT side, pos, avg(x) AS m FROM p GROUP BY 1, 2), v AS (SELECT a.m AS a, b.m AS b FROM m a JOIN m b ON a.pos = b.pos AND a.side AND NOT b.side) SELECT round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) AS drift FROM v")
 def embedding_drift(spark, sf):
     e = load(spark, sf, "embeddings")
@@ -65,9 +74,13 @@ def sentence(spark, sf):
     return V.sentences(load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id"))
 
 
-@query("op_X11_hash_embedding")
+#: A text's bag of 64 hashed words, not yet at unit length.
+BAG = "(SELECT list_transform(range(0, 64), lambda k: len(list_filter(pl, lambda p: p = k))::DOUBLE) FROM (SELECT list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS pl))"
+
+
+@query("op_X11_hash_embedding", f"SELECT item_id, list_transform(b, lambda x: round(x / greatest(sqrt(list_dot_product(b, b)), 1e-300), 9)) AS v FROM (SELECT item_id, {BAG.format('text')} AS b FROM benchmark)")
 def hash_embedding(spark, sf):
-    return load(spark, sf, "benchmark").select("item_id", V.hash_embedding(F.col("text")).alias("v"))
+    return load(spark, sf, "benchmark").select("item_id", F.transform(V.hash_embedding(F.col("text")), lambda x: F.round(x, 9)).alias("v"))
 
 
 @query("op_X12_similar_names", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND 1 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name)) > 0.4")
@@ -132,7 +145,15 @@ def blast_radius_all(spark, sf):
     return graphs.blast_radius(e, e.filter("src like 'r%'").select(F.col("src").alias("node")).distinct())
 
 
-@query("op_G04_centrality")
+def rank_sql(edges: str, rounds: int = 10) -> str:
+    """Page rank with its rounds written out."""
+    sql = f"WITH e AS (SELECT * FROM {edges}), s AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r0 AS (SELECT node, 1.0::DOUBLE AS rank FROM n)"
+    for k in range(rounds):
+        sql += f", r{k + 1} AS (SELECT n.node, 0.15 + 0.85 * coalesce(sum(rank * share), 0) AS rank FROM n LEFT JOIN (SELECT dst, rank, share FROM s JOIN r{k} ON node = src) ON dst = n.node GROUP BY 1)"
+    return sql + f" SELECT node, round(rank / (SELECT max(rank) FROM r{rounds}), 6) AS score FROM r{rounds}"
+
+
+@query("op_G04_centrality", rank_sql(EDGES_ALL))
 def centrality(spark, sf):
     return graphs.centrality(edges_all(spark, sf)).select("node", F.round("score", 6).alias("score"))
 
