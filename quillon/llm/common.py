@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,15 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder: spark.checkpoint.dir, or what the session was given.
 
-    The folder is spark.checkpoint.dir; only where the session has none (tests
-    on one machine) a temporary folder is set.
+    Only a master on one machine (tests) gets a temporary folder where none is
+    set; elsewhere that is an error, as other machines could not read it.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder and read from there."""
+    root = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
@@ -85,13 +97,20 @@ def stored(df: DataFrame) -> DataFrame:
     that it took are deleted at once.
     """
     spark = df.sparkSession
-    checkpointed(spark.range(0))  # sets a folder where the session has none
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes a table that stored() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

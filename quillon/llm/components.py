@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import checkpointed, dealt
+from .common import dealt, discarded, stored
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour that is greater than a node is tied to the least one of node and neighbours."""
@@ -24,15 +24,19 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of the edges (a, b) that is not its own root.
 
-    Edges to itself are dropped. Each round is written to the checkpoint
-    folder; rounds go on until no edge changes, which takes about the square of
+    Edges to itself are dropped. Each round is written to the shared folder, and
+    the one before it deleted with its shuffle files; rounds go on until no edge changes, which takes about the square of
     the logarithm of the nodes' number.
     """
-    now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
     while True:
-        now = checkpointed(_small(_large(now)).distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # what the round comes to is told by its own write, not by reading it again
+        told = Observation()
+        before = now
+        now = stored(_small(_large(now)).distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        discarded(before)
+        mark = told.get
         if mark == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         was = mark

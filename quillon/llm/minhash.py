@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import SALTS, checkpointed, dealt, packed, stored, text_slices, unpacked
+from .common import SALTS, dealt, packed, stored, text_slices, unpacked
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -277,7 +277,9 @@ def _tied(rows: DataFrame, key: str, payload: str, compare: Callable) -> DataFra
 
     def linked(some: DataFrame) -> DataFrame:
         some = some.select(key, "_block", "_chunk", "_left", "node", payload)
-        return some.repartition(key, "_block", "_chunk").sortWithinPartitions(key, "_block", "_chunk").mapInArrow(compare, schema)
+        # a set number of tasks: what they compute does not follow from the size of their rows
+        spread = int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return some.repartition(spread, key, "_block", "_chunk").sortWithinPartitions(key, "_block", "_chunk").mapInArrow(compare, schema)
 
     inside = rows.withColumn("_block", F.explode(F.when(leads, all_blocks).otherwise(F.array(block)))).withColumn("_chunk", F.lit(-1)).withColumn("_left", F.lit(False))
     known = components(linked(inside))
@@ -285,7 +287,7 @@ def _tied(rows: DataFrame, key: str, payload: str, compare: Callable) -> DataFra
     large = rows.filter(many).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = large.groupBy(key, "root", "_n").agg(F.count("*").alias("_m")).groupBy(key).agg(F.max(F.struct("_m", "root")).alias("_top"), F.first("_n").alias("_all"))
     left = sizes.select(key, F.col("_top.root").alias("_main"), F.ceil((F.col("_all") - F.col("_top._m")) / BLOCK).cast("int").alias("_chunks")).filter("_chunks > 0")
-    left = checkpointed(left)
+    left = stored(left)
     if left.isEmpty():
         return known
     large = dealt(large, left, [key], ["node"])
@@ -299,14 +301,14 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wo
     """_id, _h (hash of the text), n_shingles, node (hash of the shingle set, null without any), _keys, _sketch."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_h"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return checkpointed(rows.mapInArrow(_signed(n_words), f"_id {kind}, _h long, n_shingles long, node binary, _keys array<long>, _sketch binary"))
+    return stored(rows.mapInArrow(_signed(n_words), f"_id {kind}, _h long, n_shingles long, node binary, _keys array<long>, _sketch binary"))
 
 
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: _id, _h, n_shingles, component_id."""
     sig = signed(docs, id_col, text_col, n_words)
     first = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_h").alias("h"))
-    classes = checkpointed(sig.filter("node is not null").groupBy("node").agg(F.min(first).alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")))
+    classes = stored(sig.filter("node is not null").groupBy("node").agg(F.min(first).alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")))
     keyed = classes.select("node", F.explode("_keys").alias("_key"))
     buckets = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
     members = dealt(keyed, buckets, ["_key"], ["node"]).join(classes.select("node", "_sketch"), "node")
@@ -316,7 +318,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     members = families.join(classes.select("node", "n_shingles", F.col("_first.id").alias("_id"), F.col("_first.h").alias("_h")), "node")
     sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_sum"))
     parts = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_sum") * 8 / BYTES)).cast("int")
-    chosen = checkpointed(dealt(members, sizes.select("root", "_n", parts.alias("_parts")), ["root"], ["node"]).select("node", "root", "_n", "_parts", "_id", "_h"))
+    chosen = stored(dealt(members, sizes.select("root", "_n", parts.alias("_parts")), ["root"], ["node"]).select("node", "root", "_n", "_parts", "_id", "_h"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +327,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(4)), sets], names=["node", "family", "_n", "_parts", "_set"])
 
     texts = docs.select(F.col(id_col).alias("_tid"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_th"), F.col(text_col).cast("string").alias("_text"))
-    wanted = texts.join(chosen, F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("node", "root", "_n", "_parts", "_text")
+    # chosen grows with the corpus: never broadcast, so the plan is the same at every size
+    wanted = texts.join(chosen.hint("merge"), F.col("_tid").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("node", "root", "_n", "_parts", "_text")
     sets = wanted.mapInArrow(full_sets, "node binary, family binary, _n long, _parts int, _set binary")
     # read twice where a family is large: stored, so that texts are joined and cut into shingles once
     found = _tied(stored(sets), "family", "_set", _confirmed(percent))
