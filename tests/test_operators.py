@@ -129,7 +129,7 @@ def test_similar_users_of_all(spark):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
 def test_recommendation_reaches_all_users(spark):
-    df = QUERIES["op_X14_recommendation_all"](spark, "/root/testdata/sf0.01")
+    df = QUERIES["op_X14_recommendation"](spark, "/root/testdata/sf0.01")
     assert df.agg(F.max("v")).first()[0] >= 140
 
 
@@ -138,9 +138,9 @@ def test_whole_tables_are_served(spark):
     """Users and customers beyond the ids of the short queries come out."""
     sf = "/root/testdata/sf0.01"
     most = lambda name: QUERIES[name](spark, sf).agg(F.max("entity")).first()[0]
-    assert most("op_S04_streaming_lookup_all") == most("op_K07_point_in_time_export_all") == 149
-    assert QUERIES["op_S19_batch_serving_all"](spark, sf).count() == 1500
-    assert QUERIES["op_K14_exchange_count_all"](spark, sf).first()["n"] == 10_000
+    assert most("op_S04_streaming_lookup") == most("op_K07_point_in_time_export") == 149
+    assert QUERIES["op_S19_batch_serving"](spark, sf).count() == 1500
+    assert QUERIES["op_K14_exchange_count"](spark, sf).first()["n"] == 10_000
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
