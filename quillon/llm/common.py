@@ -81,9 +81,9 @@ SALTS = 8
 
 
 def dealt(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """rows joined with the one row of facts that has their keys; a key's rows are dealt by the columns by to SALTS tasks, as one key may have most of all rows."""
+    """rows joined with the one row of facts that has their keys; a key's rows are dealt by the columns by to SALTS tasks, as one key may have most of all rows. Facts grow with the corpus and are not broadcast at any size."""
     each = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(each, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(each.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 #: Has Spark delete a plan's shuffle files as soon as it has run.

@@ -311,11 +311,11 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     classes = stored(sig.filter("node is not null").groupBy("node").agg(F.min(first).alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")))
     keyed = classes.select("node", F.explode("_keys").alias("_key"))
     buckets = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    members = dealt(keyed, buckets, ["_key"], ["node"]).join(classes.select("node", "_sketch"), "node")
+    members = dealt(keyed, buckets, ["_key"], ["node"]).join(classes.select("node", "_sketch").hint("merge"), "node")
     least = percent / 100 - margin(percent / 100)
     families = _tied(members.withColumn("_parts", F.ceil(F.col("_n") / BLOCK).cast("int")), "_key", "_sketch", _candidates(least))
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    members = families.join(classes.select("node", "n_shingles", F.col("_first.id").alias("_id"), F.col("_first.h").alias("_h")), "node")
+    members = families.join(classes.select("node", "n_shingles", F.col("_first.id").alias("_id"), F.col("_first.h").alias("_h")).hint("merge"), "node")
     sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_sum"))
     parts = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_sum") * 8 / BYTES)).cast("int")
     chosen = stored(dealt(members, sizes.select("root", "_n", parts.alias("_parts")), ["root"], ["node"]).select("node", "root", "_n", "_parts", "_id", "_h"))
@@ -338,7 +338,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     # copies of one set are a hot node: both sides are salted
     salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(2 * SALTS - 1))))
     rows = sig.select("_id", "_h", "n_shingles", "node").withColumn("_salt", F.pmod(F.xxhash64("_id", "_h"), F.lit(2 * SALTS)).cast("int"))
-    return rows.join(salted, ["node", "_salt"], "left").select("_id", "_h", "n_shingles", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(salted.hint("merge"), ["node", "_salt"], "left").select("_id", "_h", "n_shingles", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
