@@ -3,7 +3,8 @@
 1. Each text's set of word shingles gives BANDS * ROWS minima. Runs of ROWS
    minima are hashed to band keys; the low BITS of each (mixed) minimum are
    packed into a sketch. Texts with equal sets are one class.
-2. Classes that share a band key are candidates. Their similarity is estimated
+2. Classes that share a band key are candidates; of buckets with the same members
+   (by a 128-bit hash of them) one is compared. Their similarity is estimated
    by counting equal low bits and correcting for chance collisions; candidates
    that are ERRORS standard errors below the threshold are dropped. Components
    of the others are families.
@@ -311,7 +312,12 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     classes = stored(sig.filter("node is not null").groupBy("node").agg(F.min(first).alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")))
     keyed = classes.select("node", F.explode("_keys").alias("_key"))
     buckets = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    members = dealt(keyed, buckets, ["_key"], ["node"]).join(classes.select("node", "_sketch").hint("merge"), "node")
+    # stored, as what follows reads them more than once
+    shared = stored(dealt(keyed, buckets, ["_key"], ["node"]))
+    # near copies fill many buckets with the same members: each such membership is compared once
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_x{k}") for k in range(2)]
+    once = shared.groupBy("_key", "_n").agg(*alike).groupBy("_n", "_x0", "_x1").agg(F.min("_key").alias("_key")).select("_key")
+    members = stored(dealt(shared, once, ["_key"], ["node"]).join(classes.select("node", "_sketch").hint("merge"), "node"))
     least = percent / 100 - margin(percent / 100)
     families = _tied(members.withColumn("_parts", F.ceil(F.col("_n") / BLOCK).cast("int")), "_key", "_sketch", _candidates(least))
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
