@@ -15,23 +15,51 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def ks(reference: DataFrame, current: DataFrame, field: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic: greatest distance of the empirical distributions; equal values step together.
+def _place(value: Column, bounds: list[float]) -> Column:
+    """The number of bounds that are at most the value, by halving."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < bounds[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return half(0, len(bounds))
 
-    Cumulative counts run over RANGES ranges of values: each range's running
-    sum starts from the totals of those before it, so no task sorts everything.
+
+def _running(counts: DataFrame, *names: str) -> DataFrame:
+    """counts (v and numbers) with each number's running sum over v (cum_) and total (all_).
+
+    Sums run in ranges of values between approximate quantiles, so that the
+    ranges are even whatever the values' spread; each starts from the totals of
+    those before it, and no task sorts everything.
     """
-    tagged = reference.select(F.col(field).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(field).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counts = tagged.filter("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    bounds = F.broadcast(counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # one row
-    place = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * (RANGES - 1))
-    parts = counts.crossJoin(bounds).select("v", "a", "b", place.alias("p"))
-    sums = parts.groupBy("p").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
+    bounds = sorted(set(counts.select(F.col("v").cast("double")).approxQuantile("v", [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))))
+    parts = counts.withColumn("p", _place(F.col("v").cast("double"), bounds))
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("p", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("ob"), F.sum("pa").over(Window.partitionBy()).alias("na"), F.sum("pb").over(Window.partitionBy()).alias("nb"))
+    sums = parts.groupBy("p").agg(*[F.sum(n).alias(n) for n in names])
+    offsets = F.broadcast(sums.select("p", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in names], *[F.sum(n).over(Window.partitionBy()).alias(f"all_{n}") for n in names]))  # a row for each range
     w = Window.partitionBy("p").orderBy("v")
-    steps = parts.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w)).join(F.broadcast(offsets), "p")
-    return steps.agg(F.max(F.abs((F.col("oa") + F.col("ca")) / F.col("na") - (F.col("ob") + F.col("cb")) / F.col("nb"))).alias("ks"))
+    steps = parts.select("p", "v", *names, *[F.sum(n).over(w).alias(f"in_{n}") for n in names]).join(offsets, "p")
+    return steps.select("v", *names, *[(F.col(f"before_{n}") + F.col(f"in_{n}")).alias(f"cum_{n}") for n in names], *[f"all_{n}" for n in names])
+
+
+def ks(reference: DataFrame, current: DataFrame, field: str) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic: greatest distance of the empirical distributions; equal values step together."""
+    tagged = reference.select(F.col(field).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(field).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = tagged.filter("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    share = lambda n: F.try_divide(F.col(f"cum_{n}"), F.col(f"all_{n}"))
+    return _running(counts, "a", "b").agg(F.max(F.abs(share("a") - share("b"))).alias("ks"))
+
+
+def quantiles(df: DataFrame, field: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the exact percentiles of these names, interpolated between neighbours; null without values."""
+    counts = df.select(F.col(field).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    steps = _running(counts, "n")
+    at = {name: (F.col("all_n") - 1) * share for name, share in shares.items()}
+    value = lambda place: F.max(F.when((F.col("cum_n") > place) & (F.col("cum_n") - F.col("n") <= place), F.col("v")))
+    got = steps.agg(*[c.alias(f"{name}_{side}") for name, x in at.items() for side, c in (("lo", value(F.floor(x))), ("hi", value(F.ceil(x))), ("part", F.max(x - F.floor(x))))])
+    return got.select(*[(F.col(f"{n}_lo") * (1 - F.col(f"{n}_part")) + F.col(f"{n}_hi") * F.col(f"{n}_part")).alias(n) for n in shares])
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -88,6 +116,34 @@ def divergences(reference: DataFrame, current: DataFrame, field: str, bins: int
     return t.agg(F.sum(term("p", "q")).alias("kl"), (F.sum(term("p", "m")) / 2 + F.sum(term("q", "m")) / 2).alias("js"))
 
 
+#: Thresholds of the tests that a suite runs.
+THRESHOLDS = {"ks": 0.05, "psi": 0.2, "chi_squared": 0.05, "jensen_shannon": 0.1}
+
+
+def suite(reference: DataFrame, current: DataFrame, field: str, thresholds: dict[str, float] = THRESHOLDS, bins: int = 10) -> DataFrame:
+    """test, statistic, threshold, passed of every test named in thresholds, on one pass over shared bins; an empty side has statistics of 0."""
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(Window.partitionBy()))
+    t = _bins(reference, current, field, bins).select(share("r").alias("r"), share("c").alias("c"))
+    a, e = F.greatest("c", F.lit(1e-4)), F.greatest("r", F.lit(1e-4))
+    p, q = F.greatest("c", F.lit(1e-10)), F.greatest("r", F.lit(1e-10))
+    m = (p + q) / 2
+    psi_, chi, js = (a - e) * F.ln(a / e), F.pow(F.col("c") - e, 2) / e, (p * F.ln(p / m) + q * F.ln(q / m)) / 2
+    both = F.col("r").isNotNull() & F.col("c").isNotNull()
+    found = t.agg(*[F.sum(F.when(both, x)).alias(n) for n, x in (("psi", psi_), ("chi_squared", chi), ("jensen_shannon", js))]).crossJoin(ks(reference, current, field))
+    tests = F.explode(F.array(*[F.struct(F.lit(n).alias("test"), F.coalesce(F.col(n), F.lit(0.0)).alias("statistic"), F.lit(float(x)).alias("threshold")) for n, x in thresholds.items()]))
+    return found.select(tests.alias("t")).select("t.*", (F.col("t.statistic") <= F.col("t.threshold")).alias("passed"))
+
+
+def snapshot(df: DataFrame, field: str, bins: int = 10) -> DataFrame:
+    """One row: count, mean, variance, skewness, kurtosis (excess), min, max, p50, p90, p95, p99 and histogram (shares of equal-width bins); without values count 0 and nulls."""
+    values = df.filter(F.col(field).isNotNull())
+    flat = lambda c: F.when(F.var_pop(field) > 0, c).otherwise(0.0)
+    out = values.agg(F.count(field).alias("count"), F.avg(field).alias("mean"), F.var_pop(field).alias("variance"), flat(F.skewness(field)).alias("skewness"), flat(F.kurtosis(field)).alias("kurtosis"), F.min(field).alias("min"), F.max(field).alias("max"))
+    hist = _bins(values, values.limit(0), field, bins).select("bin", F.try_divide(F.col("r"), F.sum("r").over(Window.partitionBy())).alias("share"))
+    hist = hist.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"]).alias("histogram"))  # bins values
+    return out.crossJoin(quantiles(values, field, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})).crossJoin(hist)
+
+
 def chi_squared(reference: DataFrame, current: DataFrame, field: str, floor: float = 1e-4) -> DataFrame:
     """Statistic of the current categories against the reference's, scaled to the same total."""
     t = _categories(reference, current, field)
@@ -103,10 +159,14 @@ def drift(reference: DataFrame, current: DataFrame, field: str, ks_threshold: fl
     return out.select("ks", "mean_shift", verdict.alias("verdict"))
 
 
-def nearest_rank(field: str, share: float) -> Column:
-    """The value at index int(n * share) of the sorted values, the last if beyond; as an aggregate."""
-    values = F.array_sort(F.collect_list(field))
-    return F.element_at(values, F.least(F.floor(F.size(values) * share).cast("int") + 1, F.size(values)))
+def nearest_rank(df: DataFrame, keys: list[str], field: str, share: float) -> DataFrame:
+    """keys and value: the one at index int(n * share) of each key's sorted values, the last if beyond; keys without values get no row.
+
+    Rows are ranked by a sort that spills, not held in an array.
+    """
+    w = Window.partitionBy(*keys)
+    ranked = df.filter(F.col(field).isNotNull()).select(*keys, F.col(field).alias("value"), F.row_number().over(w.orderBy(field)).alias("_at"), F.count(field).over(w).alias("_n"))
+    return ranked.filter(F.col("_at") == F.least(F.floor(F.col("_n") * share) + 1, "_n")).select(*keys, "value")
 
 
 def rolling_anomalies(df: DataFrame, key: str, order: list[str], field: str, n: int, learn: int, sigmas: float = 3.0) -> DataFrame:

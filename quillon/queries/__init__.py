@@ -1,3 +1,3 @@
 """All queries of the engine's own operators; importing this registers them."""
 
-from . import aggregation, functions, joins, lookups, more, services, statistics, storage, streams, vectors  # noqa: F401
+from . import aggregation, functions, joins, lookups, more, recommend, services, statistics, storage, streams, vectors  # noqa: F401

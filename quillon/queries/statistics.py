@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions import statistics as S
+from ..operators import forecast
 from ..registry import query
 from ..tables import features, load
 
@@ -82,7 +83,7 @@ def percentile(spark, sf):
 
 @query("op_M10_nearest_rank", "SELECT user_id, v[least(floor(len(v) * 0.95)::BIGINT + 1, len(v))] AS p95 FROM (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1)")
 def nearest_rank(spark, sf):
-    return load(spark, sf, "events").groupBy("user_id").agg(S.nearest_rank("value", 0.95).alias("p95"))
+    return S.nearest_rank(load(spark, sf, "events"), ["user_id"], "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query("op_M11_rolling_anomaly", """SELECT event_id, CASE WHEN n < 10 THEN 'learning' WHEN s > 0 AND abs(value - m) > 3 * s THEN 'zscore' WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 'iqr' ELSE 'normal' END AS anomaly
@@ -239,6 +240,37 @@ def ks_p(spark, sf):
     return S.ks(r, c, "value").crossJoin(n).select(F.round(S.ks_p_value(F.col("ks"), F.col("n"), F.col("m")), 6).alias("p"))
 
 
+@query(
+    "op_M33_suite",
+    BINS.format(10)
+    + f""", k AS ({KS}), s AS (SELECT r / nr AS r, c / nc AS c FROM t),
+u AS (SELECT greatest(c, 1e-4) AS a, greatest(r, 1e-4) AS e, c, greatest(c, 1e-10) AS p, greatest(r, 1e-10) AS q FROM s),
+x AS (SELECT 'ks' AS test, ks AS v, 0.05::DOUBLE AS threshold FROM k
+  UNION ALL SELECT 'psi', sum((a - e) * ln(a / e)), 0.2 FROM u
+  UNION ALL SELECT 'chi_squared', sum((c - e) ** 2 / e), 0.05 FROM u
+  UNION ALL SELECT 'jensen_shannon', sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0.1 FROM u)
+SELECT test, round(v, 6) AS statistic, threshold, v <= threshold AS passed FROM x""",
+)
+def suite(spark, sf):
+    return rounded(S.suite(*halves(spark, sf), "value"))
+
+
+@query(
+    "op_M33_snapshot",
+    """WITH m AS (SELECT count(value) AS n, avg(value) AS m, var_pop(value) AS v, min(value) AS lo, max(value) AS hi FROM events),
+c AS (SELECT avg((value - m) ** 3) AS m3, avg((value - m) ** 4) AS m4 FROM events, m),
+h AS (SELECT list(coalesce(k, 0) / n ORDER BY i) AS histogram FROM (SELECT unnest(range(0, 10)) AS i)
+  LEFT JOIN (SELECT least(floor((value - lo) / (hi - lo) * 10), 9) AS i, count(*) AS k FROM events, m GROUP BY 1) USING (i), m),
+p AS (SELECT quantile_cont(value, [0.5, 0.9, 0.95, 0.99]) AS p FROM events)
+SELECT n AS count, round(m, 6) AS mean, round(v, 4) AS variance, round(m3 / v ** 1.5, 6) AS skewness, round(m4 / v ** 2 - 3, 6) AS kurtosis, lo AS min, hi AS max,
+  round(p[1], 6) AS p50, round(p[2], 6) AS p90, round(p[3], 6) AS p95, round(p[4], 6) AS p99, array_to_string(list_transform(histogram, lambda x: printf('%.6f', x)), ' ') AS histogram FROM m, c, h, p""",
+)
+def snapshot(spark, sf):
+    s = S.snapshot(load(spark, sf, "events"), "value")
+    out = s.withColumn("variance", F.round("variance", 4)).withColumn("histogram", F.array_join(F.transform("histogram", lambda x: F.format_string("%.6f", x)), " "))
+    return rounded(out)
+
+
 @query("op_M34_trend", "SELECT event_type, round(regr_slope(value, epoch(ts) / 86400 - 19723), 6) AS slope, round(regr_intercept(value, epoch(ts) / 86400 - 19723), 6) AS intercept FROM events GROUP BY 1")
 def trend(spark, sf):
     day = F.unix_micros("ts") / 86400e6 - 19723
@@ -257,10 +289,25 @@ def sigma_classes(spark, sf):
 FROM (SELECT user_id AS entity, ts, event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 3.6e9 AS gap FROM events) WHERE gap > 0 GROUP BY 1""")
 def smoothed_rate(spark, sf):
     """Exponentially smoothed events per hour of each entity, from 1.0."""
-    w = Window.partitionBy("entity").orderBy("ts", "version")
-    h = features(spark, sf).withColumn("gap", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 3.6e9).filter("gap > 0")
-    gaps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "version", "gap"))), lambda x: x["gap"])
-    return h.groupBy("entity").agg(F.round(F.aggregate(gaps, F.lit(1.0), lambda a, g: 0.7 * a + 0.3 / g), 6).alias("rate"))
+    return forecast.smoothed_rates(features(spark, sf), ["entity"], "ts", ["version"], unit=3600).filter("total > 1").select("entity", F.round("rate", 6).alias("rate"))
+
+
+@query(
+    "op_M36_forecast",
+    """WITH g AS (SELECT user_id AS entity, event_type AS feature, ts, event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id))) / 3.6e9 AS gap FROM events),
+r AS (SELECT entity, feature, list_reduce(list_prepend(1.0::DOUBLE, coalesce(list(gap ORDER BY ts, event_id) FILTER (gap > 0), [])), lambda a, g: 0.7 * a + 0.3 / g) AS rate, count(*) AS total,
+  count(*) FILTER (hour(ts) = 12) AS hours FROM g GROUP BY 1, 2 HAVING count(*) >= 5),
+f AS (SELECT entity, feature, rate * hours / (total / 24.0::DOUBLE) AS adjusted, least(1.0::DOUBLE, total / 20.0::DOUBLE) AS sure FROM r)
+SELECT entity, feature, round(adjusted, 3) AS predicted, round(sure, 3) AS confidence, round(adjusted * sure, 3) AS priority FROM f""",
+)
+def access_forecast(spark, sf):
+    """Accesses per hour of each entity and feature, expected at noon."""
+    return forecast.forecast(features(spark, sf), ["entity", "feature"], "ts", ["version"], hour=12, unit=3600)
+
+
+@query("op_M36_hour_clusters")
+def hour_clusters(spark, sf):
+    return forecast.hour_clusters(features(spark, sf), "entity", "ts")
 
 
 @query("op_M37_multi_party", "SELECT event_type, round(avg(v), 6) AS mean, count(*) AS parties FROM (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 10")
