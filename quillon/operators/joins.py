@@ -6,27 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def point_in_time(spine: DataFrame, history: DataFrame, keys: list[str], values: list[str], look_back_seconds: int | None = None, how: str = "inner", ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
+def point_in_time(spine: DataFrame, history: DataFrame, keys: list[str], values: list[str], look_back_seconds: int | None = None, how: str = "inner", ts: str = "ts", tie: list[str] | None = None, band_seconds: int | None = None) -> DataFrame:
     """For each spine row the last history row of its key with ts at or before its own.
 
     Both sides are sorted together once per key (one shuffle, no row is
-    multiplied): history rows come before spine rows of the same instant.
-    Values older than the look-back are void; how="inner" then drops the row.
-    tie orders history rows of one instant, the last wins.
+    multiplied): history rows come before spine rows of the same instant. Where
+    one key may have a large part of the rows, band_seconds cuts time into
+    bands: the sort is per key and band, and the last row of earlier bands, found
+    over one row for each key and band, comes before all others, at the cost of
+    three small shuffles. Values older than the look-back are void;
+    how="inner" then drops the row. tie orders history rows of one instant, the
+    last wins. Null keys equal each other; null instants match nothing.
     """
     tie = tie or []
+    band = (F.floor(F.unix_micros(ts) / (band_seconds * 1_000_000)) if band_seconds else F.lit(0)).alias("_band")
     found = F.struct(F.col(ts).alias("feature_ts"), *values)
-    left = spine.select(*keys, ts, F.lit(1).alias("_side"), F.struct(*[c for c in spine.columns if c not in (*keys, ts)] or [F.lit(0).alias("_")]).alias("_row"), F.lit(None).cast(history.select(found).schema[0].dataType).alias("_found"), *[F.lit(None).cast(history.schema[c].dataType).alias(f"_tie_{c}") for c in tie])
-    right = history.select(*keys, ts, F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), found.alias("_found"), *[F.col(c).alias(f"_tie_{c}") for c in tie])
-    w = Window.partitionBy(*keys).orderBy(ts, "_side", *[f"_tie_{c}" for c in tie]).rowsBetween(Window.unboundedPreceding, 0)
-    out = left.unionByName(right).withColumn("_last", F.last("_found", ignorenulls=True).over(w)).filter("_side = 1")
+    order = F.struct(ts, *[F.col(c).alias(f"_tie_{c}") for c in tie])
+    row = F.struct(*[c for c in spine.columns if c not in (*keys, ts)] or [F.lit(0).alias("_")])
+    untied = F.struct(ts, *[F.lit(None).cast(history.schema[c].dataType).alias(f"_tie_{c}") for c in tie])
+    left = spine.select(*keys, band, untied.alias("_order"), F.lit(2).alias("_side"), row.alias("_row"))
+    right = history.filter(F.col(ts).isNotNull()).select(*keys, band, order.alias("_order"), F.lit(1).alias("_side"), found.alias("_found"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    if band_seconds:
+        both = both.unionByName(_carried(left, right, keys), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_band").orderBy(F.col(f"_order.{ts}"), "_side", *[F.col(f"_order._tie_{c}") for c in tie]).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).filter("_side = 2")
     if look_back_seconds is not None:
-        fresh = F.unix_micros(F.col("_last.feature_ts")) >= F.unix_micros(F.col(ts)) - look_back_seconds * 1_000_000
+        fresh = F.unix_micros(F.col("_last.feature_ts")) >= F.unix_micros(F.col(f"_order.{ts}")) - look_back_seconds * 1_000_000
         out = out.withColumn("_last", F.when(fresh, F.col("_last")))
     if how == "inner":
         out = out.filter(F.col("_last").isNotNull())
     names = [c for c in left.schema["_row"].dataType.names if c != "_"]
-    return out.select(*keys, ts, *[F.col(f"_row.{c}") for c in names], "_last.feature_ts", *[F.col(f"_last.{c}").alias(c) for c in values])
+    return out.select(*keys, F.col(f"_order.{ts}").alias(ts), *[F.col(f"_row.{c}") for c in names], "_last.feature_ts", *[F.col(f"_last.{c}").alias(c) for c in values])
+
+
+def _carried(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key and band of left the last row of right in an earlier band, as a row that sorts before all others (_side 0, no _order)."""
+    lasts = right.groupBy(*keys, "_band").agg(F.max_by("_found", "_order").alias("_found"))
+    asked = left.filter(F.col("_band").isNotNull()).select(*keys, "_band").distinct().withColumn("_asked", F.lit(True))
+    bands = asked.unionByName(lasts, allowMissingColumns=True).groupBy(*keys, "_band").agg(F.max("_asked").alias("_asked"), F.first("_found", ignorenulls=True).alias("_found"))
+    past = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    found = bands.withColumn("_found", F.last("_found", ignorenulls=True).over(past)).filter(F.col("_asked") & F.col("_found").isNotNull())
+    return found.select(*keys, "_band", F.lit(0).alias("_side"), "_found")
 
 
 def within(left: DataFrame, right: DataFrame, key: str, seconds: float, how: str = "inner", ts: str = "ts") -> DataFrame:

@@ -69,7 +69,7 @@ ASOF JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHE
 def point_in_time_rows(spark, sf, how="inner", seconds=86400):
     h = features(spark, sf)
     spine = h.filter("feature = 'purchase'").select("entity", "ts")
-    return joins.point_in_time(spine, h.filter("feature = 'click'"), ["entity"], ["value"], seconds, how, tie=["version"])
+    return joins.point_in_time(spine, h.filter("feature = 'click'"), ["entity"], ["value"], seconds, how, tie=["version"], band_seconds=7 * 86400)
 
 
 @query("op_J05_point_in_time", PIT)

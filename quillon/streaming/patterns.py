@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,48 @@ def followed_by(history: DataFrame, key: str, first: str, second: str, seconds:
 def first_event_windows(history: DataFrame, key: str, seconds: int) -> DataFrame:
     """key, window_start, n, s: a window opens at the first event after the last one's end.
 
-    Each key's events are folded in order by an aggregate over its sorted
-    instants; Spark has no window of this kind.
+    Where a window starts depends on the one before it, for which Spark has no
+    window; rows sorted by key and instant stream through Arrow batches, and a
+    task holds one batch and the open window. Events without an instant are
+    left out; null values count, but add nothing; null keys are one key.
     """
-    events = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("version").alias("v"), F.col("value").alias("x"))))
-    empty = F.array().cast("array<struct<t: bigint, n: bigint, s: double>>")
-
-    def add(done, e):
-        last = F.try_element_at(done, F.lit(-1))
-        inside = (F.size(done) > 0) & (e["t"] < last["t"] + seconds * 1_000_000)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["t"].alias("t"), (last["n"] + 1).alias("n"), (last["s"] + e["x"]).alias("s"))))
-        return F.when(inside, grown).otherwise(F.concat(done, F.array(F.struct(e["t"].alias("t"), F.lit(1).cast("bigint").alias("n"), e["x"].alias("s")))))
-
-    folded = history.groupBy(key).agg(events.alias("e")).select(key, F.inline(F.aggregate("e", empty, add)))
-    return folded.select(key, F.timestamp_micros("t").alias("window_start"), "n", "s")
+    width = seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key, start, n, s of the open window
+        for batch in batches:
+            done = []
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            t, x = batch.column(1).to_numpy(), np.nan_to_num(batch.column(2).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                k = codes.dictionary[int(at[lo])].as_py()
+                if held and held[0] != k:
+                    done.append(held)
+                    held = None
+                while lo < hi:
+                    if held is None:
+                        held = (k, int(t[lo]), 0, 0.0)
+                    end = lo + int(np.searchsorted(t[lo:hi], held[1] + width))
+                    held = (k, held[1], held[2] + end - lo, sum(x[lo:end].tolist(), held[3]))
+                    lo = end
+                    if lo < hi:
+                        done.append(held)
+                        held = None
+            yield _window_rows(done, key, batch.schema.field(0).type)
+        if held:
+            yield _window_rows([held], key, batch.schema.field(0).type)
+
+    rows = history.filter(F.col("ts").isNotNull()).select(key, F.unix_micros("ts").alias("t"), F.col("value").cast("double").alias("x"), "version")
+    rows = rows.repartition(key).sortWithinPartitions(key, "t", "version").drop("version")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(fold, f"`{key}` {kind}, t long, n long, s double").select(key, F.timestamp_micros("t").alias("window_start"), "n", "s")
+
+
+def _window_rows(windows: list[tuple], name: str, kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*windows)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.int64(), pa.float64()))], names=[name, "t", "n", "s"])
 
 
 def match_sequences(events: DataFrame, steps: list[str], seconds: int, key: str = "entity", kind: str = "feature"):
