@@ -29,6 +29,15 @@ def age_seconds(ts: Column, at: Column) -> Column:
     return (F.unix_micros(at) - F.unix_micros(ts)) / 1_000_000
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """SQL's ROUND of a double: scaled in binary, rounded half away from zero and scaled back; what is not finite stays.
+
+    F.round rounds the shortest decimal instead, which differs where the scaled double is just beside a half.
+    """
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x)
+
+
 def truthy(s: Column) -> Column:
     return F.lower(s.cast("string")).isin("true", "1", "yes")
 
