@@ -19,8 +19,9 @@ def halves(spark, sf, field="value"):
     return e.filter(f"ts < timestamp'{CUT}'").select(field), e.filter(f"ts >= timestamp'{CUT}'").select(field)
 
 
-def rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df, digits=6, exact=()):
+    """df with doubles rounded as SQL rounds them; those named in exact are left as they are."""
+    return df.select(*[scalars.rounded(F.col(c), digits).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in df.dtypes])
 
 
 KS = f"""SELECT max(abs(ca / na - cb / nb)) AS ks FROM (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb
@@ -267,8 +268,10 @@ SELECT n AS count, round(m, 6) AS mean, round(v, 4) AS variance, round(m3 / v **
 )
 def snapshot(spark, sf):
     s = S.snapshot(load(spark, sf, "events"), "value")
-    out = s.withColumn("variance", F.round("variance", 4)).withColumn("histogram", F.array_join(F.transform("histogram", lambda x: F.format_string("%.6f", x)), " "))
-    return rounded(out)
+    # format_number rounds the binary value, as SQL's printf does; format_string rounds its shortest decimal, which differs at halves
+    shares = F.array_join(F.transform("histogram", lambda x: F.format_number(x, 6)), " ")
+    out = s.withColumn("variance", scalars.rounded(F.col("variance"), 4)).withColumn("histogram", shares)
+    return rounded(out, exact=("variance", "min", "max"))
 
 
 @query("op_M34_trend", "SELECT event_type, round(regr_slope(value, epoch(ts) / 86400 - 19723), 6) AS slope, round(regr_intercept(value, epoch(ts) / 86400 - 19723), 6) AS intercept FROM events GROUP BY 1")

@@ -38,3 +38,20 @@ def test_operators_at_halves_and_odd_values(spark, tmp_path):
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
     want = con.execute(ORACLES["op_F10_operators"] + " ORDER BY 1").fetchall()
     assert got == want and got[0][4] == 2147.022812
+
+
+def test_snapshot_at_halves(spark, tmp_path):
+    """Shares of 128 rows have a 5 in their seventh digit; least and greatest values are not rounded."""
+    lo = 0.123456789
+    counts = [53, 31, 17, 11, 7, 4, 2, 1, 1, 1]
+    values = [lo + i + 0.5 * (j > 0) for i, n in enumerate(counts) for j in range(n)]
+    values[-1] = lo + 10
+    assert len(values) == 128
+    pq.write_table(pa.table({"value": values}), tmp_path / "events.parquet")
+    row = QUERIES["op_M33_snapshot"](spark, str(tmp_path)).first()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    cur = con.execute(ORACLES["op_M33_snapshot"])
+    want = dict(zip([d[0] for d in cur.description], cur.fetchone(), strict=True))
+    assert row.asDict() == want
+    assert row["histogram"].endswith("0.007812 0.007812 0.007812") and row["min"] == lo
